@@ -288,17 +288,18 @@ def study_type(c) -> Column:
     return F.when(t != "", t)
 
 
+AGE_DIVISOR = {"year": 1.0, "month": 12.0, "week": 52.0, "day": 365.0}
+
+
 def age_to_years(c) -> Column:
-    """First number and first unit; month/12, week/52, day/365; n/a -> null."""
+    """First number and first unit; month/12, week/52, day/365, no unit ->
+    years; blank or ``n/a...`` -> null.  The stripped text is referenced
+    three times only, which keeps the generated code small."""
     s = F.lower(py_strip(c))
     num = F.regexp_extract(s, AGE_NUMBER, 1)
     unit = F.regexp_extract(s, "(?i)" + AGE_UNIT, 1)
-    v = F.when(num != "", num.try_cast("double"))
-    years = (F.when(unit.startswith("month"), v / 12.0)
-             .when(unit.startswith("week"), v / 52.0)
-             .when(unit.startswith("day"), v / 365.0)
-             .otherwise(v))
-    return F.when(s.isNotNull() & (s != "") & ~s.startswith("n/a"), years)
+    div = F.coalesce(map_values(unit, {k: str(v) for k, v in AGE_DIVISOR.items()}).cast("double"), F.lit(1.0))
+    return F.when(~s.startswith("n/a"), F.nullif(num, F.lit("")).try_cast("double") / div)
 
 
 def age_window(age_min, age_max):

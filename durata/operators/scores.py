@@ -149,21 +149,27 @@ def ridge_cv(df: DataFrame, feats: Sequence[str], label: str, fold: str, alphas:
 def fit_complexity(df: DataFrame, duration: str = "duration_days", cols: Sequence[str] = COMPLEXITY_COLS,
                    id_col: str | None = None, alphas: Sequence[float] = RIDGE_ALPHAS, folds: int = 5,
                    n_quantiles: int = 1000, out: str = "complexity_score_100") -> ScoreModel:
-    """M5/M6: ridge weights over quantile ranks, contiguous K-fold CV (r2)."""
-    qt = QuantileUniform(cols, [f"__u{i}" for i in range(len(cols))], n_quantiles=n_quantiles).fit(df)
-    u = qt.transform(df).withColumn("__y", F.log(F.col(duration).cast("double")))
+    """M5/M6: ridge weights over quantile ranks, contiguous K-fold CV (r2).
+
+    The fit reads its input a few times (medians, knots, fold cuts, one
+    statistics pass, min/max): the narrow input projection is persisted."""
+    src = df.select(*{*cols, duration, id_col or cols[0]}).persist()
+    qt = QuantileUniform(cols, [f"__u{i}" for i in range(len(cols))], n_quantiles=n_quantiles).fit(src)
+    u = qt.transform(src).withColumn("__y", F.log(F.col(duration).cast("double")))
     u = u.withColumn("__fold", fold_column(u, id_col or cols[0], folds))
     feats = qt.output_cols
     alpha, beta, _ = ridge_cv(u, feats, "__y", "__fold", alphas)
     _, smin, smax = weighted_score(u, feats, beta, "__s")
+    src.unpersist()
     return ScoreModel("complexity", qt, beta, smin, smax, alpha, out)
 
 
 def fit_attractiveness(df: DataFrame, cols: Sequence[str] = ATTRACTIVENESS_COLS, n_quantiles: int = 1000,
                        out: str = "attractiveness_score_100") -> ScoreModel:
     """M7: first principal component of the centred quantile ranks."""
-    qt = QuantileUniform(cols, [f"__u{i}" for i in range(len(cols))], n_quantiles=n_quantiles).fit(df)
-    u = qt.transform(df)
+    src = df.select(*cols).persist()
+    qt = QuantileUniform(cols, [f"__u{i}" for i in range(len(cols))], n_quantiles=n_quantiles).fit(src)
+    u = qt.transform(src)
     va = VectorAssembler(inputCols=qt.output_cols, outputCol="__f")
     pca = PCA(k=1, inputCol="__f", outputCol="__p").fit(va.transform(u))
     load = [float(x) for x in pca.pc.toArray()[:, 0]]
@@ -171,4 +177,5 @@ def fit_attractiveness(df: DataFrame, cols: Sequence[str] = ATTRACTIVENESS_COLS,
     if load[j] < 0:
         load = [-x for x in load]
     _, smin, smax = weighted_score(u, qt.output_cols, load, "__s")
+    src.unpersist()
     return ScoreModel("attractiveness", qt, load, smin, smax, None, out)

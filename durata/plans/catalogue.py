@@ -404,8 +404,9 @@ def _ages(spark, sf):
     min_raw = F.when(F.col("p_brand") == "Brand#1", F.lit("N/A (No limit)")) \
         .otherwise(F.concat(F.col("p_size").cast("string"), unit))
     max_raw = F.concat((F.floor("p_retailprice").cast("long") % 60).cast("string"), F.lit(" Years"))
-    lo, hi, rng = R.age_window(R.age_to_years(min_raw), R.age_to_years(max_raw))
-    return p.select("p_partkey", "p_type", lo.alias("age_min"), hi.alias("age_max"), rng.alias("age_range"))
+    y = p.select("p_partkey", "p_type", R.age_to_years(min_raw).alias("__lo"), R.age_to_years(max_raw).alias("__hi"))
+    lo, hi, rng = R.age_window("__lo", "__hi")
+    return y.select("p_partkey", "p_type", lo.alias("age_min"), hi.alias("age_max"), rng.alias("age_range"))
 
 
 @query("q10_ages", f"""

@@ -50,14 +50,14 @@ def xf_features(spark, sf):
 
 @job("w1_complexity_score")
 def w1(spark, sf):
-    f = features_frame(spark, sf)
+    f = features_frame(spark, sf).persist()
     m = scores.fit_complexity(f, "duration_days", id_col="start_year")
     return m.transform(f).select("nct_id", "complexity_score_100")
 
 
 @job("w2_attractiveness_score")
 def w2(spark, sf):
-    f = features_frame(spark, sf)
+    f = features_frame(spark, sf).persist()
     m = scores.fit_attractiveness(f)
     return m.transform(f).select("nct_id", "attractiveness_score_100")
 
@@ -73,14 +73,14 @@ def _oot_split(f: DataFrame):
 
 @job("w3_forest_predictions")
 def w3(spark, sf):
-    tr, te = _oot_split(features_frame(spark, sf))
+    tr, te = _oot_split(features_frame(spark, sf).persist())
     preds, _, _ = model.evaluate(tr, te, NUM_COLS, CAT_COLS, "nct_id", "duration_days", rf_params=JOB_RF)
     return preds
 
 
 @job("w3_forest_importance")
 def w3_imp(spark, sf):
-    tr, te = _oot_split(features_frame(spark, sf))
+    tr, te = _oot_split(features_frame(spark, sf).persist())
     _, _, imps = model.evaluate(tr, te, NUM_COLS, CAT_COLS, "nct_id", "duration_days", seeds=(42,),
                                 rf_params=JOB_RF)
     return imps.orderBy(F.desc("importance"), "feature")
@@ -88,7 +88,7 @@ def w3_imp(spark, sf):
 
 @job("w4_ablation")
 def w4(spark, sf):
-    tr, te = _oot_split(features_frame(spark, sf))
+    tr, te = _oot_split(features_frame(spark, sf).persist())
     cols = ["num_arms", "elig_crit_n", "age_min", "freq_in_window", "phase", "allocation"]
     sets = ablation.leave_one_out(cols)
     m = ablation.run_sets(tr, te, cols[:4], cols[4:], "nct_id", "duration_days", sets, seeds=(42, 43),
