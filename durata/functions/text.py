@@ -43,7 +43,10 @@ def _unescape(s: pd.Series) -> pd.Series:
 
 
 def html_unescape(c) -> Column:
-    return _unescape(_c(c))
+    """Only texts holding ``&`` cross into Python: others are sent as null
+    (a few bytes in the Arrow batch) and come back unchanged via coalesce."""
+    s = _c(c)
+    return F.coalesce(_unescape(F.when(s.contains("&"), s)), s)
 
 
 def clean_text(c, redact: bool = False, decode_entities: bool = True) -> Column:

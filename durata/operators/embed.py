@@ -4,8 +4,8 @@ Default encoder, fully native: every sentence of the whole text (split on
 ". ") becomes a signed hashed bag of words (``HashingTF`` into ``dims``
 buckets, L2-normalised); a document vector is the attention-style pooling
 ``sum_s softmax(salience_s) * v_s`` with salience = log(1 + tokens).  The
-pooling is a weighted ``Summarizer`` mean grouped by document, so it is a
-partial aggregation, not a collect.  The result is deterministic (no random
+pooling is a weighted ``Summarizer`` mean grouped by document (partial
+aggregation, no window, no collect).  The result is deterministic (no random
 weights; the reference's untrained encoder is not reproducible, quirk Q19).
 
 Pluggable encoder: ``embed(..., encoder=fn)`` runs ``fn(list[str]) ->
@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,11 +38,10 @@ def _native(df: DataFrame, id_col: str, text_col: str, dims: int, clean: bool) -
     s = sentence_table(df, id_col, text_col, clean)
     tf = HashingTF(inputCol="tokens", outputCol="__tf", numFeatures=dims, binary=False)
     s = Normalizer(inputCol="__tf", outputCol="__v", p=2.0).transform(tf.transform(s))
-    sal = F.log1p(F.size("tokens").cast("double"))
-    w = Window.partitionBy(id_col)
-    # softmax over the document's sentences (max-shifted for stability)
-    s = s.withColumn("__sal", sal).withColumn("__e", F.exp(F.col("__sal") - F.max("__sal").over(w)))
-    s = s.withColumn("__w", F.col("__e") / F.sum("__e").over(w))
+    # softmax pooling as a weighted mean: sum_s e^sal_s v_s / sum_s e^sal_s.
+    # salience = log(1 + tokens) keeps e^sal = 1 + tokens, so no max-shift (and
+    # no window) is needed: the pooling is a plain partial aggregation.
+    s = s.withColumn("__w", F.exp(F.log1p(F.size("tokens").cast("double"))))
     pooled = s.groupBy(id_col).agg(Summarizer.mean(F.col("__v"), F.col("__w")).alias("__doc"))
     return pooled.select(id_col, vector_to_array("__doc", "float32").alias("vector"))
 

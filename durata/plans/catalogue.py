@@ -1346,3 +1346,25 @@ def q36(spark, sf):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# ---------------------------------------------------------------------------
+# q20 skewed: one customer key holds half of all orders (W1 skew-safe form)
+# ---------------------------------------------------------------------------
+
+@query("q20_novelty_skewed", """
+WITH b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE o_custkey END AS k,
+                  CAST(o_orderdate AS DATE) AS d FROM orders),
+f AS (SELECT o_orderkey, k,
+        count(*) OVER (PARTITION BY k ORDER BY d RANGE BETWEEN INTERVAL 1824 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING)
+        + row_number() OVER (PARTITION BY k, d ORDER BY o_orderkey) AS freq
+      FROM b)
+SELECT o_orderkey, k, CAST(freq AS BIGINT) AS freq_in_window, round(1.0 / freq, 4) AS novelty_score FROM f
+""")
+def q20_skewed(spark, sf):
+    o = T(spark, sf, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.lit(0).cast("long")).otherwise(F.col("o_custkey")).alias("k"),
+        "o_orderdate")
+    f = novelty.novelty_score(novelty.trailing_frequency(o, "k", "o_orderdate", "o_orderkey", 1825,
+                                                         method="preaggregated"))
+    return f.select("o_orderkey", "k", "freq_in_window", r4("novelty_score").alias("novelty_score"))
