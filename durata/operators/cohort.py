@@ -12,7 +12,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import _c, py_strip
+from ..functions.rules import _c, py_strip, yes_no
 
 
 def strip_names(df: DataFrame) -> DataFrame:
@@ -93,3 +93,15 @@ def drop_null_rows(df: DataFrame, subset: Sequence[str]) -> DataFrame:
 def fill_constants(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     """Constant / category fill per column."""
     return df.fillna(dict(values))
+
+
+def coerce_flags(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """columns with at most two distinct values map 0/1 -> No/Yes.  One
+    aggregate (count_distinct per candidate) decides which columns qualify."""
+    if not cols:
+        return df
+    counts = df.agg(*[F.count_distinct(c).alias(c) for c in cols]).first()
+    for c in cols:
+        if counts[c] <= 2:
+            df = df.withColumn(c, yes_no(c))
+    return df

@@ -27,6 +27,15 @@ from pyspark.sql import types as T
 from ..functions import text as TX
 
 
+def summary_table(df: DataFrame, id_col: str, text_col: str, ids: DataFrame | None = None,
+                  ids_col: str = "id") -> DataFrame:
+    """T1x: id + text, optionally restricted to an id list, null text -> ''."""
+    out = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
+    if ids is not None:
+        out = out.join(ids.select(F.col(ids_col).alias(id_col)).distinct(), id_col, "left_semi")
+    return out
+
+
 def sentence_table(df: DataFrame, id_col: str, text_col: str, clean: bool = True) -> DataFrame:
     """T4x: (id, sent_idx, sentence, tokens) for every sentence of the text."""
     t = TX.clean_text(text_col) if clean else F.coalesce(F.col(text_col), F.lit(""))

@@ -155,3 +155,28 @@ def concat_blocks(blocks: Sequence[tuple[str, DataFrame]], label_col: str = "blo
         d = df.withColumn(label_col, F.lit(name))
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
     return out
+
+
+def sort_summary(summary: DataFrame, metric: str = "mae_mean", baseline_flag: str | None = None,
+                 group: str | None = None) -> DataFrame:
+    """Baseline rows first (per group), then the metric descending."""
+    order = []
+    if group:
+        order.append(F.col(group))
+    if baseline_flag:
+        order.append(F.col(baseline_flag).desc())
+    order.append(F.col(metric).desc())
+    return summary.orderBy(*order)
+
+
+def build_report(df: DataFrame, duration: str = "duration_days", category: str = "phase",
+                 scores: Sequence[str] = ("complexity_score_100", "attractiveness_score_100")) -> DataFrame:
+    """Rows, non-null durations, min/max duration, distinct categories,
+    score ranges -- one aggregate."""
+    aggs = [F.count(F.lit(1)).alias("rows"), F.count(duration).alias("durations_non_null"),
+            F.min(duration).alias("duration_min"), F.max(duration).alias("duration_max"),
+            F.count_distinct(category).alias(f"{category}_distinct")]
+    for s in scores:
+        if s in df.columns:
+            aggs += [F.min(s).alias(f"{s}_min"), F.max(s).alias(f"{s}_max")]
+    return df.agg(*aggs)

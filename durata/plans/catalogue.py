@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as TX
-from ..functions.paths import value_from_paths
-from ..operators import classify, cohort, harmonise, novelty, reports, split
+from ..operators import classify, cohort, harmonise, novelty, reports, split, vectors
+from ..operators.flatten import flatten
 from ..operators.quantile import QuantileUniform
 from ..sources import idlists
 
@@ -133,11 +133,6 @@ def _studies(spark, sf):
             .select("o_orderkey", study.alias("s")).select("o_orderkey", "s.*"))
 
 
-def flatten(df: DataFrame, mapping: dict[str, str], keep: list[str]) -> DataFrame:
-    """One compiled projection for the whole mapping."""
-    return df.select(*keep, *[value_from_paths(df.schema, p).alias(v) for v, p in mapping.items()])
-
-
 Q03_MAP = {
     "priority": "order.priority",
     "first_qty": "lines[0].qty",
@@ -670,18 +665,6 @@ def q17(spark, sf):
 # q18 epoch seconds, years, log target, yes/no
 # ---------------------------------------------------------------------------
 
-def coerce_flags(df: DataFrame, cols: list[str]) -> DataFrame:
-    """columns with at most two distinct values map 0/1 -> No/Yes
-    (one aggregate decides which)."""
-    if not cols:
-        return df
-    counts = df.agg(*[F.count_distinct(c).alias(c) for c in cols]).first()
-    for c in cols:
-        if counts[c] <= 2:
-            df = df.withColumn(c, R.yes_no(c))
-    return df
-
-
 @query("q18_time", f"""
 WITH {_ORDER_DATES_SQL}
 SELECT o_orderkey, CAST(date_diff('day', DATE '1970-01-01', start) AS DOUBLE) * 86400.0 AS start_date_ts,
@@ -701,7 +684,7 @@ def q18(spark, sf):
                  r4(R.log_days("days")).alias("log_days"),
                  (F.col("o_orderstatus") == "F").cast("int").alias("status_flag"),
                  F.substring("o_orderpriority", 1, 1).cast("long").alias("priority_num"))
-    return coerce_flags(d, ["status_flag", "priority_num"])
+    return cohort.coerce_flags(d, ["status_flag", "priority_num"])
 
 
 # ---------------------------------------------------------------------------
@@ -743,32 +726,14 @@ def q20(spark, sf):
 EMB_DIMS = 64
 
 
-def vector_left_join(base: DataFrame, base_id: str, vecs: DataFrame, vec_id: str, vec_col: str) -> DataFrame:
-    """Left join on normalised ids (null ids never match)."""
-    b = base.withColumn("__nid", R.normalise_id(base_id))
-    v = vecs.select(R.normalise_id(vec_id).alias("__nid"), F.col(vec_col))
-    return b.join(v, "__nid", "left").drop("__nid")
-
-
-def missing_vector(vec_col: str) -> F.Column:
-    """Vector absent or holding a null."""
-    v = F.col(vec_col)
-    return (v.isNull() | F.exists(v, lambda x: x.isNull())).cast("long")
-
-
-def expand_vector(vec_col: str, dims: int, prefix: str) -> list[F.Column]:
-    """T6x: one column per dimension."""
-    return [r4(F.get(F.col(vec_col), i)).alias(f"{prefix}{i:03d}") for i in range(dims)]
-
-
 @query("q21_vectors", "SELECT doc_id, CAST(embedding IS NULL OR list_has_any(list_transform(embedding, lambda x: x IS NULL), [true]) AS BIGINT) AS missing_vec, "
        + ", ".join(f"round(CAST(embedding[{i + 1}] AS DOUBLE), 4) AS emb_{i:03d}" for i in range(EMB_DIMS))
        + " FROM documents d LEFT JOIN embeddings e ON upper(trim(CAST(e.vec_id AS VARCHAR))) = upper(trim(CAST(d.doc_id AS VARCHAR)))")
 def q21(spark, sf):
     d = T(spark, sf, "documents").select("doc_id")
-    j = vector_left_join(d, "doc_id", T(spark, sf, "embeddings"), "vec_id", "embedding")
-    return j.select("doc_id", missing_vector("embedding").alias("missing_vec"),
-                    *expand_vector("embedding", EMB_DIMS, "emb_"))
+    j = vectors.vector_left_join(d, "doc_id", T(spark, sf, "embeddings"), "vec_id", "embedding")
+    return j.select("doc_id", vectors.missing_vector("embedding").alias("missing_vec"),
+                    *vectors.expand_columns("embedding", EMB_DIMS, "emb_", digits=4))
 
 
 # ---------------------------------------------------------------------------
