@@ -271,7 +271,14 @@ def cohort_design(c) -> Column:
 
 
 def py_title(c) -> Column:
-    """Python ``str.title()``: upper after any non-letter, lower otherwise."""
+    """Python ``str.title()``: upper after any non-letter, lower otherwise.
+
+    Text made of letters and blanks only takes native ``initcap`` (identical
+    there); anything else goes through the per-character rule."""
+    return F.when(_c(c).rlike(r"^[\p{L}\s]*$"), F.initcap(_c(c))).otherwise(_title_chars(c))
+
+
+def _title_chars(c) -> Column:
     chars = F.split(_c(c), "")
     out = F.transform(
         chars,
