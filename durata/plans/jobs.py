@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ablation, embed, model, scores, split
+from ..operators import ablation, embed, model, reports, scores, split
 from ..session import staging_path
 from ..streaming import ingest
 from . import features as FE
@@ -86,6 +86,57 @@ def w3_imp(spark, sf):
     return imps.orderBy(F.desc("importance"), "feature")
 
 
+@job("w3_oot_metrics")
+def w3_metrics(spark, sf):
+    """OOT evaluation: mean baseline (M8) + forest per seed, per-run metrics
+    and the seed summary (A1/A4), MAE/RMSE in years."""
+    tr, te = _oot_split(features_frame(spark, sf).persist())
+    preds, per_seed, _ = model.evaluate(tr, te, NUM_COLS, CAT_COLS, "nct_id", "duration_days", rf_params=JOB_RF)
+    mean = model.mean_baseline(tr, "duration_days")
+    base = reports.error_metrics(te.select(F.col("duration_days").cast("double").alias("truth"),
+                                           F.lit(mean).alias("pred")), "truth", "pred", scale=365.25)
+    runs = per_seed.withColumn("model", F.lit("random_forest")).unionByName(
+        base.withColumn("seed", F.lit(None).cast("int")).withColumn("model", F.lit("mean_baseline")))
+    summary = reports.seed_summary(runs, ["model"])
+    return summary.select("model", "n_seeds", "mae_mean", "mae_std", "rmse_mean", "r2_mean")
+
+
+@job("w7_expert_comparison")
+def w7(spark, sf):
+    """Expert-style comparison: ordered test list, overlap -> train, forest
+    per seed, per-trial truth/prediction/error mean and std in years (std 0
+    for a single run), rows in list order."""
+    f = features_frame(spark, sf).persist()
+    tr_ids = f.where("start_year <= 1999").select(F.col("nct_id").alias("id"))
+    te_list = f.where("start_year >= 1999").select(F.col("nct_id").alias("id"),
+                                                   F.substring("nct_id", 4, 8).cast("long").alias("pos"))
+    s = split.assign_split(f, "nct_id", tr_ids, te_list.select("id"), overlap="train")
+    tr, te = s.where("split = 'train'"), s.where("split = 'test'")
+    preds, _, _ = model.evaluate(tr, te, NUM_COLS, CAT_COLS, "nct_id", "duration_days", rf_params=JOB_RF)
+    yrs = preds.select("nct_id", (F.col("truth") / 365.25).alias("truth_y"), (F.col("pred") / 365.25).alias("pred_y"),
+                       (F.col("abs_err") / 365.25).alias("err_y"))
+    stats = yrs.groupBy("nct_id").agg(
+        F.count(F.lit(1)).alias("n_runs"), F.avg("truth_y").alias("truth_years"),
+        F.avg("pred_y").alias("pred_mean_years"), F.coalesce(F.stddev_samp("pred_y"), F.lit(0.0)).alias("pred_std_years"),
+        F.avg("err_y").alias("err_mean_years"), F.coalesce(F.stddev_samp("err_y"), F.lit(0.0)).alias("err_std_years"))
+    return split.ordered_by_list(stats, "nct_id", te_list)
+
+
+@job("w4_engineered_inclusion")
+def w4_inclusion(spark, sf):
+    """All engineered columns on top of a base set, then each alone."""
+    f = features_frame(spark, sf).persist()
+    m = scores.fit_complexity(f, "duration_days", id_col="start_year", n_quantiles=100).transform(f)
+    m = scores.fit_attractiveness(m, n_quantiles=100).transform(m)
+    tr, te = _oot_split(m)
+    base = ["num_arms", "elig_crit_n", "phase"]
+    extra = ["active_prob", "novelty_score", "complexity_score_100", "attractiveness_score_100"]
+    sets = ablation.single_features(base, extra)
+    sets["BASE"] = base
+    return ablation.run_sets(tr, te, base[:2] + extra, base[2:], "nct_id", "duration_days", sets, seeds=(42, 43),
+                             rf_params=dict(numTrees=10, maxDepth=8), baseline_sets=("BASE",))
+
+
 @job("w4_ablation")
 def w4(spark, sf):
     tr, te = _oot_split(features_frame(spark, sf).persist())
@@ -108,7 +159,7 @@ def w6(spark, sf):
     """Pages derived from the tables are written as two dated pulls, ingested
     incrementally, and reduced to the latest version per study."""
     base = staging_path(spark, f"w6-{uuid.uuid4().hex}")
-    studies = FE.derive_studies(spark, sf)
+    studies = FE.derive_studies(spark, sf).persist()
     schema = studies.schema
     key = F.col("protocolSection.identificationModule.nctId")
     for date, cond in (("2001-01-01", F.substring(key, 4, 8).cast("long") % 2 == 0), ("2001-02-01", F.lit(True))):
