@@ -4,11 +4,15 @@
 tiers, best tier wins:
 
 1. exact: the normalised value equals a normalised canonical name (1.0);
-2. synonym: the normalised value equals a normalised synonym (0.95);
+2. synonym: the normalised value equals, contains or is contained in a
+   normalised synonym (0.95);
 3. fuzzy: similarity ``1 - levenshtein / max(len)`` >= ``threshold`` with at
    most ``max_edits`` edits.
 
-All tiers are equi-joins.  Fuzzy candidates come from deletion
+All tiers are equi-joins.  Containment joins on substrings: substrings of
+each value at the lengths that synonyms have (synonym inside value), and
+all substrings of the synonyms, the bounded dictionary side (value inside
+synonym).  Fuzzy candidates come from deletion
 neighbourhoods: two strings within ``k`` edits share a string obtained by
 deleting at most ``k`` characters from each, so joining on those variants
 finds every pair within ``k`` edits and nothing needs a cross product.
@@ -68,6 +72,14 @@ def _deletion_variants(c: Column, k: int) -> Column:
     return variants
 
 
+def _substrings(c: Column, lengths: Column) -> Column:
+    """All substrings of ``c`` whose length is in the array ``lengths``."""
+    ks = F.filter(lengths, lambda k: (k >= 1) & (k <= F.length(c)))
+    return F.array_distinct(F.flatten(F.transform(
+        ks, lambda k: F.transform(F.sequence(F.lit(1), F.length(c) - k + 1),
+                                  lambda i: F.substring(c, i, k)))))
+
+
 def harmonise(df: DataFrame, col: str, dictionary: DataFrame, synonyms: DataFrame | None = None,
               threshold: float = 0.70, max_edits: int = 2, canon_col: str = "canonical",
               syn_col: str = "synonym") -> DataFrame:
@@ -83,8 +95,18 @@ def harmonise(df: DataFrame, col: str, dictionary: DataFrame, synonyms: DataFram
     tiers = [exact]
     if synonyms is not None:
         syn = (synonyms.select(F.col(canon_col).alias("canonical"), F.col(syn_col).alias("syn"))
-               .withColumn("ns", normalise_name("syn")))
-        tiers.append(vals.join(syn, vals.nv == syn.ns)
+               .withColumn("ns", normalise_name("syn")).where(F.col("ns") != ""))
+        lengths = sorted({r[0] for r in syn.select(F.length("ns")).distinct().collect()})
+        vq = vals.where(F.col("nv") != "")
+        # synonym inside the value (equality included)
+        v_sub = vq.select("value", F.explode(_substrings(F.col("nv"), F.array(*[F.lit(k) for k in lengths])))
+                          .alias("piece"))
+        inside = v_sub.join(syn.select("canonical", "syn", F.col("ns").alias("piece")), "piece")
+        # value inside the synonym
+        s_sub = syn.select("canonical", "syn", F.explode(_substrings(F.col("ns"), F.sequence(
+            F.lit(1), F.length("ns")))).alias("piece"))
+        around = vq.select("value", F.col("nv").alias("piece")).join(s_sub, "piece")
+        tiers.append(inside.unionByName(around).select("value", "canonical", "syn").distinct()
                      .select("value", "canonical", F.lit(0.95).alias("confidence"),
                              F.concat(F.lit("synonym:"), "syn").alias("reason"), F.lit(0).alias("dist"),
                              F.lit(1).alias("tier")))
@@ -100,7 +122,7 @@ def harmonise(df: DataFrame, col: str, dictionary: DataFrame, synonyms: DataFram
     cand = tiers[0]
     for t in tiers[1:]:
         cand = cand.unionByName(t)
-    w = Window.partitionBy("value").orderBy(F.desc("confidence"), "tier", "dist", "canonical")
+    w = Window.partitionBy("value").orderBy(F.desc("confidence"), "tier", "dist", "canonical", "reason")
     best = (cand.withColumn("__r", F.row_number().over(w)).where("__r = 1")
             .select(F.col("value").alias(col), F.col("canonical").alias("match"), "confidence", "reason"))
     return df.join(best, on=col, how="left")

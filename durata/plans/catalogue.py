@@ -1198,9 +1198,11 @@ def q33(spark, sf):
 # ---------------------------------------------------------------------------
 
 def _q34_values_sql():
-    return ("CASE p_size % 5 WHEN 0 THEN p_name WHEN 1 THEN substr(p_name, 1, 2) || substr(p_name, 4) "
+    return ("CASE WHEN p_size = 50 THEN split_part(p_name, ' ', 2) "
+            "WHEN p_size % 10 = 9 THEN split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) || ' extra' "
+            "ELSE CASE p_size % 5 WHEN 0 THEN p_name WHEN 1 THEN substr(p_name, 1, 2) || substr(p_name, 4) "
             "WHEN 2 THEN upper(replace(p_name, ' ', '_')) WHEN 3 THEN p_name || 'xx' "
-            "ELSE split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) END")
+            "ELSE split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) END END")
 
 
 def _norm_name_sql(c):
@@ -1221,12 +1223,13 @@ sn AS (SELECT canonical, syn, {_norm_name_sql('syn')} AS ns FROM syn),
 cand AS (
   SELECT value, canonical, 1.0 AS confidence, 'exact' AS reason, 0 AS dist, 0 AS tier FROM vn JOIN cn ON nv = nc
   UNION ALL
-  SELECT value, canonical, 0.95, 'synonym:' || syn, 0, 1 FROM vn JOIN sn ON nv = ns
+  SELECT DISTINCT value, canonical, 0.95, 'synonym:' || syn, 0, 1 FROM vn JOIN sn
+    ON nv <> '' AND ns <> '' AND (contains(nv, ns) OR contains(ns, nv))
   UNION ALL
   SELECT value, canonical, 1.0 - levenshtein(nv, nc) / greatest(length(nv), length(nc), 1), 'fuzzy', levenshtein(nv, nc), 2
   FROM vn, cn WHERE levenshtein(nv, nc) <= 2
     AND 1.0 - levenshtein(nv, nc) / greatest(length(nv), length(nc), 1) >= 0.7),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY value ORDER BY confidence DESC, tier, dist, canonical) AS r
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY value ORDER BY confidence DESC, tier, dist, canonical, reason) AS r
                         FROM cand) WHERE r = 1)
 SELECT p_partkey, x.value, canonical AS match, round(confidence, 4) AS confidence, reason
 FROM (SELECT p_partkey, {_q34_values_sql()} AS value FROM part) x LEFT JOIN best ON x.value = best.value
@@ -1235,7 +1238,9 @@ def q34(spark, sf):
     p = T(spark, sf, "part")
     sz = F.col("p_size") % 5
     w = F.split("p_name", " ")
-    value = (F.when(sz == 0, F.col("p_name"))
+    value = (F.when(F.col("p_size") == 50, F.get(w, 1))
+             .when(F.col("p_size") % 10 == 9, F.concat_ws(" ", F.get(w, 1), F.get(w, 0), F.lit("extra")))
+             .when(sz == 0, F.col("p_name"))
              .when(sz == 1, F.concat(F.substring("p_name", 1, 2), F.substring("p_name", 4, 1 << 30)))
              .when(sz == 2, F.upper(F.regexp_replace("p_name", " ", "_")))
              .when(sz == 3, F.concat("p_name", F.lit("xx")))

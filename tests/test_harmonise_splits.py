@@ -60,3 +60,21 @@ def test_id_list_parsers(spark, tmp_path):
     assert s6["NCT00000001"] < s6["NCT00000002 EXTRA"]
     s7 = sorted(r.id for r in idlists.ids_tokens(ln).collect())
     assert s7 == ["NCT0000000003", "NCT00000001", "NCT00000002", "NCT00000004"]
+
+
+def test_synonym_containment_matches_brute_force(spark):
+    canon = ["num patients", "site n", "masking"]
+    syns = [("num patients", "enrollment"), ("site n", "site count"), ("masking", "blinded flag")]
+    values = ["total enrollment n", "count", "blinded", "enrollment", "unrelated"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    d = spark.createDataFrame([(c,) for c in canon], "canonical string")
+    sy = spark.createDataFrame(syns, "canonical string, synonym string")
+    got = {r.v: (r.match, r.reason) for r in harmonise.harmonise(df, "v", d, sy, max_edits=0).collect()}
+    norm = {x: r[0] for x in values + [s for _, s in syns] + canon
+            for r in [spark.createDataFrame([(x,)], "x string").select(harmonise.normalise_name("x")).first()]}
+    for v in values:
+        hits = sorted((c, f"synonym:{s}") for c, s in syns
+                      if norm[v] and norm[s] and (norm[s] in norm[v] or norm[v] in norm[s]))
+        exact = [c for c in canon if norm[c] == norm[v]]
+        want = (exact[0], "exact") if exact else (hits[0] if hits else (None, None))
+        assert got[v] == want, v
