@@ -77,9 +77,15 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# Characters Python's ``str.strip()`` removes (fixed value: str.isspace set).
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+                 "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def py_strip(c) -> Column:
-    """Python ``str.strip()``: trim any whitespace, not only spaces."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    r"""Python ``str.strip()``: trim any whitespace from both ends.  ``btrim``
+    touches only the ends (an anchored ``\s+$`` regex rescans every run)."""
+    return F.btrim(_c(c), F.lit(PY_WHITESPACE))
 
 
 def py_str(c) -> Column:
