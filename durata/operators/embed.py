@@ -36,11 +36,20 @@ def summary_table(df: DataFrame, id_col: str, text_col: str, ids: DataFrame | No
     return out
 
 
-def sentence_table(df: DataFrame, id_col: str, text_col: str, clean: bool = True) -> DataFrame:
-    """T4x: (id, sent_idx, sentence, tokens) for every sentence of the text."""
+def sentence_table(df: DataFrame, id_col: str, text_col: str, clean: bool = True,
+                   max_sentences: int | None = None, max_tokens: int | None = None) -> DataFrame:
+    """T4x: (id, sent_idx, sentence, tokens) for every sentence of the text.
+    The caps of the reference's encoder (40 sentences, 32 tokens) are
+    optional; by default the whole text is used."""
     t = TX.clean_text(text_col) if clean else F.coalesce(F.col(text_col), F.lit(""))
-    s = df.select(id_col, F.posexplode(TX.sentences(t)).alias("sent_idx", "sentence"))
-    return s.withColumn("tokens", TX.tokens(F.lower("sentence")))
+    sents = TX.sentences(t)
+    if max_sentences:
+        sents = F.slice(sents, 1, max_sentences)
+    s = df.select(id_col, F.posexplode(sents).alias("sent_idx", "sentence"))
+    toks = TX.tokens(F.lower("sentence"))
+    if max_tokens:
+        toks = F.slice(toks, 1, max_tokens)
+    return s.withColumn("tokens", toks)
 
 
 def _native(df: DataFrame, id_col: str, text_col: str, dims: int, clean: bool) -> DataFrame:

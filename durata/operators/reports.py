@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import DAYS_PER_YEAR
+from ..functions.rules import DAYS_PER_YEAR, day_diff, parse_date_any
 
 DESCRIBE_PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 EXACT_MAX_ROWS = 50_000_000
@@ -180,3 +180,21 @@ def build_report(df: DataFrame, duration: str = "duration_days", category: str =
         if s in df.columns:
             aggs += [F.min(s).alias(f"{s}_min"), F.max(s).alias(f"{s}_max")]
     return df.agg(*aggs)
+
+
+def planned_vs_actual(df: DataFrame, planned_start: str, planned_end: str, actual_start: str, actual_end: str,
+                      days_per_year: float = 365.0) -> DataFrame:
+    """lenient dates, planned and actual durations, signed delta and the
+    absolute error in years; rows missing either duration are dropped."""
+    d = df.withColumn("manual_days", day_diff(parse_date_any(planned_end), parse_date_any(planned_start))) \
+          .withColumn("actual_days", day_diff(parse_date_any(actual_end), parse_date_any(actual_start)))
+    d = d.dropna(subset=["manual_days", "actual_days"])
+    d = d.withColumn("delta_days", F.col("actual_days") - F.col("manual_days"))
+    return d.withColumn("abs_error_years", F.abs("delta_days") / days_per_year)
+
+
+def expert_error(df: DataFrame, scope: str, days_per_year: float = 365.0) -> DataFrame:
+    """Rows, mean absolute and mean signed error in years."""
+    return df.agg(F.count(F.lit(1)).alias("n"), F.avg("abs_error_years").alias("mae_years"),
+                  F.avg(F.col("delta_days") / days_per_year).alias("signed_years")) \
+        .select(F.lit(scope).alias("scope"), "n", "mae_years", "signed_years")

@@ -784,9 +784,7 @@ def q23(spark, sf):
     parts = []
     for policy, ov in (("test_wins", "test"), ("train_wins", "train")):
         r = split.assign_split(docs, "doc_id", tr, te, overlap=ov)
-        parts.append(r.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"),
-                                            F.count_distinct("doc_id").alias("n_ids"))
-                     .select(F.lit(policy).alias("policy"), "split", "n_rows", "n_ids"))
+        parts.append(split.split_counts(r, "doc_id").select(F.lit(policy).alias("policy"), "split", "n_rows", "n_ids"))
     both = tr.distinct().intersect(te.distinct())
     parts.append(both.agg(F.count(F.lit(1)).alias("n_rows"))
                  .select(F.lit("overlap").alias("policy"), F.lit("both").alias("split"), "n_rows",
@@ -940,20 +938,11 @@ def q27(spark, sf):
     s = d.select("o_orderkey", "o_custkey", fmt("start").alias("fpfv_plan"),
                  F.when(F.col("o_orderpriority") == "5-LOW", F.lit("TBD")).otherwise(fmt("first_ship")).alias("lplv_plan"),
                  fmt("start").alias("fpfv_act"), fmt("complete").alias("lplv_act"))
-    s = s.select("o_orderkey", "o_custkey",
-                 R.day_diff(R.parse_date_any("lplv_plan"), R.parse_date_any("fpfv_plan")).alias("manual_days"),
-                 R.day_diff(R.parse_date_any("lplv_act"), R.parse_date_any("fpfv_act")).alias("actual_days"))
-    c = cohort.drop_null_rows(s, ["manual_days", "actual_days"]) \
-        .withColumn("delta_days", F.col("actual_days") - F.col("manual_days"))
+    c = reports.planned_vs_actual(s, "fpfv_plan", "lplv_plan", "fpfv_act", "lplv_act")
     bld = T(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"))
     f = split.exclude(c, "o_custkey", bld)
-
-    def summ(df, scope):
-        return df.agg(F.count(F.lit(1)).alias("n"),
-                      r4(F.avg(F.abs("delta_days") / 365.0)).alias("mae_years"),
-                      r4(F.avg(F.col("delta_days") / 365.0)).alias("signed_years")) \
-            .select(F.lit(scope).alias("scope"), "n", "mae_years", "signed_years")
-    return summ(c, "all").unionByName(summ(f, "filtered"))
+    out = reports.expert_error(c, "all").unionByName(reports.expert_error(f, "filtered"))
+    return out.select("scope", "n", r4("mae_years").alias("mae_years"), r4("signed_years").alias("signed_years"))
 
 
 # ---------------------------------------------------------------------------

@@ -19,12 +19,33 @@ def page_schema(study: T.StructType) -> T.StructType:
                          T.StructField("nextPageToken", T.StringType())])
 
 
+def list_pages(spark: SparkSession, path: str, pattern: str = "*.json*") -> list[str]:
+    """Page files under ``path`` in full-path order (file-system metadata only)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    it = fs.listFiles(root, True)
+    names = []
+    glob = jvm.org.apache.hadoop.fs.GlobPattern(pattern)
+    while it.hasNext():
+        st = it.next()
+        name = st.getPath().getName()
+        if not name.startswith((".", "_")) and glob.matches(name):  # hidden/metadata files, as Spark skips
+            names.append(st.getPath().toString())
+    return sorted(names)
+
+
 def scan_pages(spark: SparkSession, path: str, study: T.StructType, multi_line: bool = True,
-               partitions: int | None = None, file_col: str = "source_file") -> DataFrame:
-    """Every page file under ``path`` (sorted names do not matter to a
-    set-based engine); one row per study plus the source file name."""
-    r = (spark.read.schema(page_schema(study)).option("multiLine", multi_line)
-         .option("pathGlobFilter", "*.json*").option("recursiveFileLookup", "true").json(path))
+               partitions: int | None = None, file_col: str = "source_file",
+               max_files: int | None = None) -> DataFrame:
+    """Every page file under ``path``; one row per study plus the source
+    file name.  ``max_files`` keeps the first files in name order (smoke runs)."""
+    reader = spark.read.schema(page_schema(study)).option("multiLine", multi_line)
+    if max_files is not None:
+        r = reader.json(list_pages(spark, path)[:max_files])
+    else:
+        r = reader.option("pathGlobFilter", "*.json*").option("recursiveFileLookup", "true").json(path)
     s = r.select(F.col("_metadata.file_name").alias(file_col), F.explode("studies").alias("study"))
     s = s.select(file_col, "study.*")
     return s.repartition(partitions) if partitions else s

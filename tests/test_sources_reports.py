@@ -64,3 +64,15 @@ def test_vectors_and_summary(spark):
     ids = spark.createDataFrame([("NCT2",)], "id string")
     s = embed.summary_table(base, "id", "txt", ids)
     assert [tuple(r) for r in s.collect()] == [("NCT2", "")]
+
+
+def test_sentence_caps_and_first_absent(spark):
+    from durata.operators import split
+    df = spark.createDataFrame([(1, ". ".join(["w " * 40] * 50))], "id long, t string")
+    whole = embed.sentence_table(df, "id", "t")
+    capped = embed.sentence_table(df, "id", "t", max_sentences=40, max_tokens=32)
+    assert whole.count() == 50 and capped.count() == 40
+    assert capped.select(F.max(F.size("tokens"))).first()[0] == 32
+    ids = spark.createDataFrame([(i,) for i in (9, 3, 7, 1, 5, 11, 13)], "id long")
+    have = spark.createDataFrame([(1,), (5,)], "k long")
+    assert [r.k for r in split.first_absent(ids, have, "k", 3).collect()] == [3, 7, 9]

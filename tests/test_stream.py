@@ -33,3 +33,17 @@ def test_stream_equals_batch(spark, tmp_path):
     ingest.run_ingest(spark, raw, str(tmp_path / "flat"), str(tmp_path / "ckpt"), studies.schema, rules,
                       multi_line=False)
     assert spark.read.parquet(str(tmp_path / "flat")).count() == len(a)
+
+
+def test_scan_pages_max_files(spark, tmp_path):
+    studies = FE.derive_studies(spark, SF_SMALL)
+    raw = str(tmp_path / "raw")
+    key = F.col("protocolSection.identificationModule.nctId")
+    pages = (studies.withColumn("__p", F.floor(F.substring(key, 4, 8).cast("long") / 500))
+             .groupBy("__p").agg(F.collect_list(F.struct("protocolSection")).alias("studies")))
+    pages.where("__p = 0").drop("__p").coalesce(1).write.json(f"{raw}/2001-01-01_batch")
+    pages.where("__p > 0").drop("__p").coalesce(1).write.json(f"{raw}/2001-02-01_batch")
+    all_rows = scan_pages(spark, raw, studies.schema, multi_line=False).count()
+    one = scan_pages(spark, raw, studies.schema, multi_line=False, max_files=1)
+    assert 0 < one.count() < all_rows == studies.count()
+    assert one.select("source_file").distinct().count() == 1
