@@ -46,7 +46,7 @@ def scan_pages(spark: SparkSession, path: str, study: T.StructType, multi_line:
         r = reader.json(list_pages(spark, path)[:max_files])
     else:
         r = reader.option("pathGlobFilter", "*.json*").option("recursiveFileLookup", "true").json(path)
-    s = r.select(F.col("_metadata.file_name").alias(file_col), F.explode("studies").alias("study"))
+    s = r.select(F.col("_metadata.file_path").alias(file_col), F.explode("studies").alias("study"))
     s = s.select(file_col, "study.*")
     return s.repartition(partitions) if partitions else s
 
