@@ -173,4 +173,20 @@ def w6(spark, sf):
     ingest.run_ingest(spark, f"{base}/raw", f"{base}/flat", f"{base}/ckpt", schema, rules, multi_line=False)
     flat = spark.read.parquet(f"{base}/flat")
     latest = ingest.latest_versions(flat, "nct_id")
-    return latest.select("nct_id", "batch_date", "patients", "overall_status", "start_date_raw", "span_days")
+    return latest.select("nct_id", F.col("batch_date").cast("string").alias("batch_date"), "patients",
+                         "overall_status", "start_date_raw", "span_days")
+
+
+# The latest version of every study comes from the second (full) pull.
+ORACLE = {"w6_stream_ingest": """
+WITH l AS (SELECT l_orderkey, sum(l_quantity) AS enrol, max(l_shipdate) AS last_ship FROM lineitem GROUP BY l_orderkey)
+SELECT 'NCT' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS nct_id, '2001-02-01' AS batch_date,
+       CAST(CAST(enrol AS BIGINT) AS VARCHAR) AS patients,
+       CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'TERMINATED' WHEN 'P' THEN 'RECRUITING' END
+         AS overall_status,
+       CASE WHEN o_orderpriority = '5-LOW' THEN strftime(o_orderdate, '%Y-%m') ELSE strftime(o_orderdate, '%Y-%m-%d') END
+         AS start_date_raw,
+       CASE WHEN o_orderpriority <> '5-LOW'
+            THEN CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(last_ship AS DATE)) AS BIGINT) END AS span_days
+FROM orders LEFT JOIN l ON l_orderkey = o_orderkey
+"""}
