@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import ablation, embed, model, reports, scores, split
 from ..session import staging_path
 from ..streaming import ingest
+from . import catalogue
 from . import features as FE
 
 AS_OF = "2002-12-31"
@@ -43,9 +44,20 @@ def features_frame(spark: SparkSession, sf: str, method: str = "direct") -> Data
 
 @job("xf_features")
 def xf_features(spark, sf):
+    """The feature table (typed for comparison: dates as text, integers as
+    bigint, doubles rounded to 4 places)."""
     f = features_frame(spark, sf)
-    return f.select(*[F.col(c).cast("string").alias(c) if c in ("start_date", "complete_date") else F.col(c)
-                      for c in FE.FEATURE_COLUMNS])
+    out = []
+    for c, t in f.select(*FE.FEATURE_COLUMNS).dtypes:
+        if c in ("start_date", "complete_date"):
+            out.append(F.col(c).cast("string").alias(c))
+        elif t in ("int", "bigint", "smallint", "tinyint"):
+            out.append(F.col(c).cast("long").alias(c))
+        elif t == "double":
+            out.append(F.round(c, 4).alias(c))
+        else:
+            out.append(F.col(c))
+    return f.select(*out)
 
 
 @job("w1_complexity_score")
@@ -190,3 +202,99 @@ SELECT 'NCT' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS nct_id, '2001-02-01
             THEN CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(last_ship AS DATE)) AS BIGINT) END AS span_days
 FROM orders LEFT JOIN l ON l_orderkey = o_orderkey
 """}
+
+
+# The feature build recomputed in SQL straight from the tables: per-order
+# study facts, every rule, the cohort filter, the trailing window (before the
+# post filter), the post filter and the flag defaults.  The therapeutic-area
+# CASE comes from the same pattern table as the catalogue's q09 oracle.
+_XF_SQL = """
+WITH li AS (
+  SELECT l.l_orderkey, l.l_returnflag, l.l_quantity, l.l_shipdate, p.p_name, p.p_type, p.p_size, s.s_name, n.n_name
+  FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey
+  LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey),
+per AS (
+  SELECT l_orderkey, count(DISTINCT {'f': s_name, 'c': n_name}) AS site_n,
+         count(DISTINCT CASE WHEN n_name <> '' THEN n_name END) AS country_n,
+         CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS DOUBLE) AS primary_out_n,
+         CAST(count(*) FILTER (WHERE l_returnflag = 'A') AS DOUBLE) AS secondary_out_n,
+         CAST(count(*) FILTER (WHERE l_returnflag = 'N') AS DOUBLE) AS other_out_n,
+         CAST(count(DISTINCT l_returnflag) AS DOUBLE) AS num_arms,
+         CAST(CAST(sum(l_quantity) AS BIGINT) AS DOUBLE) AS patients,
+         CAST(max(l_shipdate) AS DATE) AS complete_date,
+         nullif(CAST(count(DISTINCT p_name) AS DOUBLE), 0) AS elig_crit_n,
+         min(p_size) AS min_size, max(p_size) AS max_size,
+         max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS placebo_flag,
+         min(p_name) AS condition_top, min(p_type) AS intervention_type
+  FROM li GROUP BY l_orderkey),
+b AS (
+  SELECT 'NCT' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS nct_id,
+         CASE WHEN o_orderpriority = '5-LOW' THEN CAST(date_trunc('month', o_orderdate) AS DATE)
+              ELSE CAST(o_orderdate AS DATE) END AS start_date,
+         per.*, o.*, c.c_mktsegment
+  FROM orders o LEFT JOIN per ON per.l_orderkey = o.o_orderkey LEFT JOIN customer c ON o.o_custkey = c.c_custkey),
+co AS (
+  SELECT *, date_diff('day', start_date, complete_date) AS duration_days FROM b
+  WHERE start_date >= DATE '1995-01-01' AND complete_date IS NOT NULL AND complete_date <= DATE '2002-12-31'
+    AND o_orderstatus IN ('F', 'O')),
+fe AS (
+  SELECT nct_id, start_date, complete_date, duration_days, year(start_date) AS start_year,
+    CAST(date_diff('day', DATE '1970-01-01', start_date) AS DOUBLE) * 86400.0 AS start_date_ts, patients,
+    coalesce(site_n, 0) AS site_n, coalesce(country_n, 0) AS country_n,
+    coalesce(primary_out_n, 0.0) AS primary_out_n, coalesce(secondary_out_n, 0.0) AS secondary_out_n,
+    coalesce(other_out_n, 0.0) AS other_out_n, coalesce(num_arms, 1.0) AS num_arms, elig_crit_n,
+    patients / nullif(CAST(coalesce(site_n, 0) AS DOUBLE), 0.0) AS patients_per_site,
+    CAST(min_size AS DOUBLE) AS age_min, CAST(max_size + 10 AS DOUBLE) AS age_max,
+    CAST(max_size + 10 - min_size AS DOUBLE) AS age_range,
+    CASE o_orderpriority WHEN '1-URGENT' THEN 'Phase 1' WHEN '2-HIGH' THEN 'Phase 2' WHEN '3-MEDIUM' THEN 'Phase 3'
+         WHEN '4-NOT SPECIFIED' THEN 'Phase 2_3' ELSE 'Phase 1' END AS phase,
+    CASE WHEN c_mktsegment IN ('BUILDING', 'HOUSEHOLD') THEN 'Academic' ELSE 'Industry' END AS sponsor_class,
+    condition_top, intervention_type,
+    CASE o_orderpriority WHEN '1-URGENT' THEN 'Double' WHEN '2-HIGH' THEN 'None' WHEN '3-MEDIUM' THEN 'Quadruple'
+         WHEN '4-NOT SPECIFIED' THEN 'Single' ELSE 'None' END AS masking_level,
+    coalesce(placebo_flag, 0) AS placebo_flag,
+    CASE c_mktsegment WHEN 'BUILDING' THEN 'Sequential' WHEN 'MACHINERY' THEN 'Parallel' ELSE 'Other' END AS cohort_design,
+    CASE WHEN o_totalprice > 150000 THEN 1 ELSE 0 END AS safety_cuts_flag,
+    'Interventional' AS study_type,
+    CASE WHEN o_orderstatus = 'F' THEN 'Randomized' ELSE 'Unknown' END AS allocation,
+    CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END AS fda_drug_flag,
+    0 AS fda_device_flag,
+    CASE WHEN coalesce(country_n, 0) > 1 THEN 'Global' ELSE 'Single' END AS global_trial,
+    c_mktsegment
+  FROM co),
+f2 AS (
+  SELECT *, primary_out_n + secondary_out_n + other_out_n AS assessments_n,
+    CASE phase WHEN 'Phase 1' THEN 0 WHEN 'Phase 1_2' THEN 1 WHEN 'Phase 2' THEN 2 WHEN 'Phase 2_3' THEN 3
+               WHEN 'Phase 3' THEN 4 WHEN 'Phase 4' THEN 5 ELSE 6 END AS phase_ord,
+    CASE WHEN masking_level IN ('Single', 'Double', 'Triple', 'Quadruple') THEN 1 ELSE 0 END AS masking_flag,
+    CASE WHEN allocation = 'Randomized' THEN 1 ELSE 0 END AS randomized_flag,
+    coalesce(1.0 - placebo_flag / nullif(num_arms, 0.0), 1.0) AS active_prob,
+    CASE c_mktsegment WHEN 'BUILDING' THEN 'Adult' WHEN 'MACHINERY' THEN 'Pediatric' WHEN 'AUTOMOBILE' THEN 'Mixed'
+      ELSE CASE WHEN age_min IS NOT NULL AND age_max IS NOT NULL AND age_min < 18 AND age_max >= 18 THEN 'Mixed'
+                WHEN age_min IS NOT NULL AND age_min >= 18 THEN 'Adult'
+                WHEN age_max IS NOT NULL AND age_max < 18 THEN 'Pediatric' ELSE 'Unknown' END END AS population_class,
+    __TA__ AS therapeutic_area,
+    CASE WHEN condition_top IS NOT NULL THEN
+      count(*) OVER (PARTITION BY condition_top ORDER BY start_date
+                     RANGE BETWEEN INTERVAL 1824 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING)
+      + row_number() OVER (PARTITION BY condition_top, start_date ORDER BY nct_id) END AS freq_in_window
+  FROM fe)
+SELECT nct_id, CAST(start_date AS VARCHAR) AS start_date, CAST(complete_date AS VARCHAR) AS complete_date,
+  CAST(duration_days AS BIGINT) AS duration_days, CAST(start_year AS BIGINT) AS start_year,
+  round(start_date_ts, 4) AS start_date_ts, round(patients, 4) AS patients, CAST(site_n AS BIGINT) AS site_n,
+  CAST(country_n AS BIGINT) AS country_n, round(primary_out_n, 4) AS primary_out_n,
+  round(secondary_out_n, 4) AS secondary_out_n, round(other_out_n, 4) AS other_out_n,
+  round(assessments_n, 4) AS assessments_n, round(num_arms, 4) AS num_arms, round(elig_crit_n, 4) AS elig_crit_n,
+  round(patients_per_site, 4) AS patients_per_site, round(active_prob, 4) AS active_prob,
+  round(1.0 / freq_in_window, 4) AS novelty_score, round(age_min, 4) AS age_min, round(age_max, 4) AS age_max,
+  round(age_range, 4) AS age_range, CAST(masking_flag AS BIGINT) AS masking_flag,
+  CAST(placebo_flag AS BIGINT) AS placebo_flag, CAST(randomized_flag AS BIGINT) AS randomized_flag,
+  CAST(safety_cuts_flag AS BIGINT) AS safety_cuts_flag, CAST(fda_drug_flag AS BIGINT) AS fda_drug_flag,
+  CAST(fda_device_flag AS BIGINT) AS fda_device_flag, CAST(freq_in_window AS BIGINT) AS freq_in_window,
+  phase, CAST(phase_ord AS BIGINT) AS phase_ord, sponsor_class, condition_top, therapeutic_area, intervention_type,
+  CASE WHEN assessments_n <= 3 THEN 'Low' WHEN assessments_n <= 6 THEN 'Medium' ELSE 'High' END AS assessments_complexity,
+  masking_level, cohort_design, study_type, population_class, allocation, global_trial
+FROM f2
+WHERE duration_days BETWEEN 30 AND 3650 AND patients IS NOT NULL AND patients >= 10
+"""
+ORACLE["xf_features"] = _XF_SQL.replace("__TA__", catalogue._ta_sql("condition_top"))
