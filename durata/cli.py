@@ -163,7 +163,7 @@ def main(argv: list[str] | None = None) -> None:
     s = sub.add_parser("features")
     s.add_argument("--flat", required=True), s.add_argument("--out", required=True)
     s.add_argument("--as-of", required=True), s.add_argument("--scores")
-    s.add_argument("--novelty", default="direct", choices=["direct", "preaggregated"])
+    s.add_argument("--novelty", default="preaggregated", choices=["direct", "preaggregated"])
     s.add_argument("--start-floor", default="2000-01-01"), s.add_argument("--keep-raw", action="store_true")
     s = sub.add_parser("embed")
     s.add_argument("--flat", required=True), s.add_argument("--out", required=True)

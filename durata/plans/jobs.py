@@ -37,7 +37,7 @@ def job(name):
     return deco
 
 
-def features_frame(spark: SparkSession, sf: str, method: str = "direct") -> DataFrame:
+def features_frame(spark: SparkSession, sf: str, method: str = "preaggregated") -> DataFrame:
     flat = FE.flatten(FE.derive_studies(spark, sf, with_summary=False), FE.FLAT_MAPPING)
     return FE.build_features(flat, AS_OF, novelty_method=method, start_floor=START_FLOOR)
 
