@@ -5,16 +5,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from durata.llm import quality_rules, sharding, shared, sql
+from durata.llm import bpe, quality_rules, sharding, shared, sql, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+END_ID = 1
+
+
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all documents' ids as a token store, and read the files back."""
+    path = shared.fresh_path(spark, "op1-store")
+    token_store.write(_table(spark, sf_dir, "documents"), path, WORD_TOKENIZER, END_ID)
+    return token_store.read(spark, path, with_ids=False)
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and what they decode to, as digests."""
+    return bpe.encode(_table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN, with_ids=False)
+
+
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
@@ -33,6 +50,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_store": op1_token_store,
+    "op3_byte_bpe": op3_byte_bpe,
     "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,
 }
