@@ -23,8 +23,8 @@ import numpy as np
 import regex
 
 LONG = 96
-#: Entries of a worker's memory of encoded chunks; it starts afresh beyond.
-MEMORY = 400_000
+#: Pieces whose ids a worker remembers; it starts afresh beyond.
+MEMORY = 1_000_000
 _U = np.uint64
 NO_RANK = np.int32(2 ** 31 - 1)
 
@@ -204,59 +204,66 @@ class Vocabulary:
         return new
 
     def decode(self, ids: np.ndarray) -> bytes:
-        n = self.lengths[ids]
-        ends = np.cumsum(n)
-        if not len(ids):
-            return b""
-        return self.bytes[np.repeat(self.starts[ids] - ends + n, n) + np.arange(ends[-1])].tobytes()
+        return _gather(self.starts, self.lengths, ids, self.bytes)[0].tobytes()
+
+
+def _gather(starts: np.ndarray, lengths: np.ndarray, which: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``table`` named by ``which``, end to end, and their ends."""
+    n = lengths[which]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    return table[np.repeat(starts[which] - ends + n, n) + np.arange(total)], ends
 
 
 class Encoder:
-    """Encodes texts by chunks (see ``chunks``), each distinct one once."""
+    """Encodes blocks of texts; each distinct piece goes through the matrices
+    once, its ids stay in the worker's memory."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.ids: dict[str, bytes] = {}
-        self.text: dict[str, bytes] = {}
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        """The text cut before each single space that a non-space follows.
+        decimals = [b"%d," % i for i in range(vocabulary.size)]
+        self.dec_lengths = np.fromiter(map(len, decimals), np.int64, vocabulary.size)
+        self.dec_starts = np.cumsum(self.dec_lengths) - self.dec_lengths
+        self.decimals = np.frombuffer(b"".join(decimals), np.uint8)
+        self._forget()
 
-        No match of the pattern runs across such a place: a space can only
-        begin a match there, and a run of white space before it gives its
-        last character back.
-        """
-        parts = text.split(" ")
-        out, open_ = [], parts[0]
-        for p in parts[1:]:
-            if p and not p[0].isspace():
-                out.append(open_)
-                open_ = " " + p
-            else:
-                open_ += " " + p
-        out.append(open_)
-        return out if out[0] else out[1:]
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.lengths = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.int32)
 
     def learn(self, new: list[str]) -> None:
-        found = [self.v.pattern.findall(c) for c in new]
-        distinct = list({p for ps in found for p in ps})
-        ids = dict(zip(distinct, self.v.encode_pieces([p.encode() for p in distinct]), strict=True))
-        for c, ps in zip(new, found, strict=True):
-            a = np.concatenate([ids[p] for p in ps]) if ps else np.zeros(0, np.int32)
-            self.ids[c] = a.astype("<u4").tobytes()
-            self.text[c] = b",".join(b"%d" % i for i in a.tolist())
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bytes]]:
-        """Per text: its ids, and the same as decimals joined by commas."""
-        cut = [self.chunks(t) for t in texts]
-        if len(self.ids) > MEMORY:
-            self.ids.clear()
-            self.text.clear()
-        self.learn(list({c for cs in cut for c in cs if c not in self.ids}))
-        for cs in cut:
-            yield (np.frombuffer(b"".join(map(self.ids.__getitem__, cs)), "<u4"),
-                   b",".join(map(self.text.__getitem__, cs)))
+        coded = self.v.encode_pieces([p.encode() for p in new])
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+        self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, coded), np.int64, len(coded))])
+        self.ids = np.concatenate([self.ids, *coded])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a block of texts end to end, and the end of each text's."""
+        pieces: list[str] = []
+        cuts = np.zeros(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            pieces += self.v.pattern.findall(t)
+            cuts[i] = len(pieces)
+        if len(self.place) > MEMORY:
+            self._forget()
+        new = list(set(pieces).difference(self.place))
+        if new:
+            self.learn(new)
+        which = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+        ids, ends = _gather(np.cumsum(self.lengths) - self.lengths, self.lengths, which, self.ids)
+        return ids, np.concatenate([[0], ends])[cuts]
+
+    def digests(self, ids: np.ndarray, ends: np.ndarray) -> Iterator[tuple[str, str]]:
+        """Per text: sha256 of its ids as decimals joined by commas, and of
+        the bytes that its ids decode to."""
+        text, text_ends = _gather(self.dec_starts, self.dec_lengths, ids, self.decimals)
+        back, back_ends = _gather(self.v.starts, self.v.lengths, ids, self.v.bytes)
+        text_ends, back_ends = np.concatenate([[0], text_ends])[ends], np.concatenate([[0], back_ends])[ends]
+        a = b = 0
+        for c, d in zip(text_ends.tolist(), back_ends.tolist(), strict=True):
+            yield hashlib.sha256(text[a:max(a, c - 1)]).hexdigest(), hashlib.sha256(back[b:d]).hexdigest()
+            a, b = c, d
 
 
 _open: dict[tuple[str, str], Encoder] = {}
@@ -293,23 +300,16 @@ def encode(docs, path: str, pattern: str, id_col: str = "doc_id", text_col: str
             keys, texts = b.column(0), [t or "" for t in b.column(1).to_pylist()]
             at = 0
             while at < len(texts):
-                end = size = at
-                size = 0
+                end, size = at, 0
                 while end < len(texts) and (end == at or size < BATCH_BYTES):
                     size += len(texts[end])
                     end += 1
-                n, h1, h2, lists = [], [], [], []
-                for ids, decimals in enc.encode(texts[at:end]):
-                    n.append(len(ids))
-                    h1.append(hashlib.sha256(decimals).hexdigest())
-                    h2.append(hashlib.sha256(enc.v.decode(ids)).hexdigest())
-                    if with_ids:
-                        lists.append(ids)
-                cols = [keys.slice(at, end - at), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2)]
+                ids, ends = enc.encode(texts[at:end])
+                h1, h2 = zip(*enc.digests(ids, ends), strict=True)
+                cols = [keys.slice(at, end - at), pa.array(np.diff(ends, prepend=0)), pa.array(h1), pa.array(h2)]
                 if with_ids:
-                    flat = np.concatenate(lists).astype(np.int32)
-                    offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                    cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+                    offsets = np.concatenate([[0], ends]).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
                 at = end
 

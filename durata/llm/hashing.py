@@ -112,7 +112,7 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    g = np.full(n, _U(k) * _ROOT, np.uint64)
+    g = mix(np.full(n, k, np.uint64))
     for j in range(k):
         g = mix(g + h[j:n + j])
     return g

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -21,11 +22,14 @@ def both():
 
 def same(both, text):
     mine, lib = both
-    ids, decimals = next(mine.encode([text]))
-    want = lib.encode_ordinary(text)
-    assert ids.tolist() == want
-    assert decimals == ",".join(map(str, want)).encode()
-    assert mine.v.decode(ids) == text.encode()
+    texts = ["x y", text, "z"]
+    ids, ends = mine.encode(texts)
+    lists = [x.tolist() for x in np.split(ids, ends)[:3]]
+    assert lists == [lib.encode_ordinary(t) for t in texts]
+    assert list(mine.digests(ids, ends)) == [
+        (hashlib.sha256(",".join(map(str, x)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+        for x, t in zip(lists, texts, strict=True)]
+    assert mine.v.decode(np.array(lists[1], np.int32)) == text.encode()
 
 
 @settings(max_examples=300, deadline=None)
