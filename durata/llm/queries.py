@@ -7,8 +7,22 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from durata.llm import bpe, quality_rules, sharding, shared, sql, token_store
+from pyspark.sql import functions as F
+
+from durata.llm import (
+    bpe,
+    decontaminate,
+    license_scan,
+    line_dedup,
+    ngram_join,
+    quality_mil,
+    quality_rules,
+    sharding,
+    shared,
+    sql,
+    token_store,
+    toxicity,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,11 +41,62 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path, with_ids=False)
 
 
+def _fold(modulus: int):
+    """crc32 of doc_id as text, modulo ``modulus``."""
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+def _labels(spark: SparkSession, sf_dir: str, label: str, learn) -> DataFrame:
+    """doc_id and label of the rows that ``learn`` (a condition) admits."""
+    return _table(spark, sf_dir, "labels").filter(learn).select("doc_id", F.col(label).alias("label"))
+
+
+def _verdict(scored: DataFrame, held_out) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias(
+        "predicted"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; a fifth of the labels is never seen."""
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, _labels(spark, sf_dir, "toxic", _fold(5) != 0))
+    return _verdict(toxicity.score(docs, model), _fold(5) == 0)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and what they decode to, as digests."""
     return bpe.encode(_table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its globally repeated chunks of lines: lines
+    before, lines removed and the digest of what stays."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup(docs, counts=True).select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every document."""
+    return license_scan.scan(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op6_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; a third of the labels is never seen."""
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_mil.learn(docs, _labels(spark, sf_dir, "quality", _fold(3) != 1))
+    return _verdict(quality_mil.score(docs, model), _fold(3) == 1)
+
+
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with a Jaccard similarity of 0.8 or more."""
+    return ngram_join.similar(_table(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, also with other values."""
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
@@ -51,7 +116,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op2_toxicity": op2_toxicity,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_license_scan": op5_license_scan,
+    "op6_quality_mil": op6_quality_mil,
+    "op7_ngram_join": op7_ngram_join,
+    "op8_decontaminate": op8_decontaminate,
     "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,
 }

@@ -61,4 +61,24 @@ FROM v, m{qr.EM_ROUNDS} AS z
 """
 
 
-ORACLE: dict[str, str] = {"op10_quality_rules": _quality_rules()}
+def _ngram_join() -> str:
+    return r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+    FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i:i+4], ' ') AS g
+    FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n AS nx ON nx.doc_id = x JOIN n AS ny ON ny.doc_id = y
+    WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM documents
+    UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id WHERE r.c < e.y)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, d.c AS component_id
+FROM (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) AS d LEFT JOIN n USING (doc_id)
+"""
+
+
+ORACLE: dict[str, str] = {"op7_ngram_join": _ngram_join(), "op10_quality_rules": _quality_rules()}
