@@ -1,8 +1,69 @@
-"""Corpus pipeline; the stages follow as their operators are written."""
+"""Corpus pipeline: quality rules, line de-duplication, near-duplicate
+removal, benchmark decontamination, byte-level BPE.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept; all but the last return the columns of ``documents``.  ``run`` writes
+each result as Parquet in the shared folder and reads it back for the next.
+The stages call the operators of ``durata.llm`` with their production
+parameters; chunk hashes, frequency order and BPE are beyond SQL, so there is
+no ORACLE_SQL and tests compare the stages with brute force.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from durata.llm import bpe, decontaminate, line_dedup, ngram_join, quality_rules, shared
 
 ORACLE_SQL = None
-STAGES = []
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-supervision verdict keeps.  The measures are
+    taken twice, to learn and to filter, so no text is shuffled or staged."""
+    model = quality_rules.learn(quality_rules.with_votes(quality_rules.measures(docs)))
+    voted = quality_rules.with_votes(quality_rules.measures(docs, keep=tuple(docs.columns)))
+    return quality_rules.judge(voted, model).filter("kept").select("row.*")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without globally repeated chunks of lines; ``n_chars``
+    follows the text."""
+    return line_dedup.dedup(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones: that of least doc_id.
+    Rows that repeat doc_id and text count as copies too."""
+    found = ngram_join.similar(docs)
+    heads = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["doc_id"]), "left_semi")
+    one = Window.partitionBy("doc_id", "__mark").orderBy("__mark")
+    return (kept.withColumn("__mark", F.xxhash64("text")).withColumn("__n", F.row_number().over(one))
+            .filter("__n = 1").select(*docs.columns))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaked = decontaminate.leaks(docs, benchmark).select("doc_id").distinct()
+    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["doc_id"]), "left_anti").select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, digests of ids and of the decoded text, ids."""
+    return bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
+
+
+STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates),
+          ("benchmark decontamination", decontamination), ("byte-level BPE", encoding)]
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = shared.written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -106,7 +106,8 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         F.regexp_count("t", F.lit(r"[!?]")).cast("long").alias("n_shouts"),
         F.regexp_count("t", F.lit(r"[.]")).cast("long").alias("n_stops"),
     ]
-    return d.select("doc_id", *(["row"] if keep else []), *out)
+    # the generator keeps a filter on the measures from being pushed into (and repeating) their expressions
+    return d.select("doc_id", *(["row"] if keep else []), F.inline(F.array(F.struct(*out))))
 
 
 def _value(rule) -> str:

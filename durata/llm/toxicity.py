@@ -3,17 +3,19 @@
 Two zstandard dictionaries are trained on labelled texts.  The ordinary one
 comes from the library's trainer over windows of ordinary text.  The toxic one
 holds the byte segments that many toxic texts and hardly any ordinary ones
-contain (counted over 5-byte grams), most frequent last, followed by the
+contain (counted over 5-byte grams within words), most frequent last, followed by the
 ordinary dictionary; the ordinary one is preceded by as many bytes that match
 nothing.  So both reach ordinary material at the same distances, and the
 compressed lengths of a window differ only by what toxic text explains.
 
-Every window of a text is compressed with both; mean, greatest and share of
-notable gains go through thresholds and slopes calibrated (logistic
-regression) on labelled texts that the dictionaries have not seen.
+Every window of a text is compressed with both; mean gain, greatest gain and
+the shares of windows that gain at three thresholds go through slopes
+calibrated (logistic regression) on labelled texts that the dictionaries have
+not seen.
 
 Training takes at most TRAIN_DOCS texts of each label, those of least hash,
-and at most TRAIN_BYTES of them; scoring covers all windows of all texts.
+and at most TRAIN_BYTES of them, CALIBRATION_DOCS of them for the calibration;
+scoring covers all windows of all texts.
 
 Defined results: null and empty texts have one empty window and get a score;
 repeated rows get the same score; an empty table gives an empty table; without
@@ -33,11 +35,13 @@ WINDOW, STEP, LEVEL = 64, 48, 9
 GRAM = 5
 ORDINARY_BYTES = 100_000
 TOXIC_BYTES = 8_000
-TRAIN_DOCS = 3_000
-TRAIN_BYTES = 16 << 20
+TRAIN_DOCS = 10_000
+TRAIN_BYTES = 40 << 20
+#: Of these, so many of each label take part in the calibration.
+CALIBRATION_DOCS = 3_000
 #: A gram is toxic if this share of toxic texts (and LEAST texts) hold it, and FACTOR times fewer ordinary ones.
 SHARE, LEAST, FACTOR = 0.01, 4, 50
-FOLDS = 5
+FOLDS = 3
 NOTABLE = 3
 _TABLE = bytes(0x20 if b in b"\t\n\r\x0b\x0c" else b for b in range(256)).lower()
 
@@ -94,17 +98,22 @@ def toxic_segments(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
     at = np.minimum(np.searchsorted(h, g), max(0, len(h) - 1))
     other = np.where(h[at] == g, m[at], 0) if len(h) else np.zeros(len(g), int)
     rate = n / len(toxic)
-    good = g[(n >= max(LEAST, SHARE * len(toxic))) & (other / max(1, len(ordinary)) * FACTOR <= rate)]
+    # a space may begin or end a gram, so a segment is a word or a part of one
+    inner = np.zeros(len(g), bool)
+    for k in range(1, GRAM - 1):
+        inner |= (g >> np.uint64(8 * k)) & np.uint64(0xFF) == 0x20
+    good = g[~inner & (n >= max(LEAST, SHARE * len(toxic))) & (other / max(1, len(ordinary)) * FACTOR <= rate)]
     held: dict[bytes, int] = {}
     for t in toxic:
         hit = np.flatnonzero(np.isin(_grams(t), good))
         if len(hit):
             runs = np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1)
             for s in {t[r[0]:r[-1] + GRAM] for r in runs}:
-                held[s] = held.get(s, 0) + 1
+                if len(s) > GRAM:
+                    held[s] = held.get(s, 0) + 1
     out, size = [], 0
     for s, c in sorted(held.items(), key=lambda x: (-x[1], x[0])):
-        if c < 2 or size + len(s) > TOXIC_BYTES:
+        if c < max(LEAST, SHARE * len(toxic)) or size + len(s) > TOXIC_BYTES:
             break
         out.append(s)
         size += len(s)
@@ -112,14 +121,14 @@ def toxic_segments(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
 
 
 def _trained(samples: list[bytes]) -> bytes:
-    """Content of a trained dictionary, or the samples' end if there are too
-    few to train one."""
+    """Content of a trained dictionary; what the trainer leaves free of
+    ORDINARY_BYTES (all of it, for few samples) is filled with sample text."""
     import zstandard
 
-    size = sum(map(len, samples))
-    if size > 10 * ORDINARY_BYTES:
-        return zstandard.train_dictionary(ORDINARY_BYTES + 12_000, samples).as_bytes()[-ORDINARY_BYTES:]
-    return b"".join(samples)[-ORDINARY_BYTES:]
+    trained = b""
+    if sum(map(len, samples)) > 40 * ORDINARY_BYTES:
+        trained = zstandard.train_dictionary(ORDINARY_BYTES + 12_000, samples).as_bytes()
+    return (b"".join(samples)[-ORDINARY_BYTES:] + trained)[-ORDINARY_BYTES:]
 
 
 class Distance:
@@ -157,11 +166,15 @@ class Distance:
 
     def features(self, text: bytes) -> tuple[list[float], int]:
         g = self.gains(text)
-        top = float(g.max())
-        mean = float(g.mean())
-        row = [mean, min(mean, 0.5), min(mean, 0.1), min(top, 6.0), np.log1p(max(0.0, top)), float((g >= NOTABLE).mean()),
-               float(top >= NOTABLE) / np.sqrt(len(g))]
-        return row, len(g)
+        return summary(g), len(g)
+
+
+def summary(g: np.ndarray) -> list[float]:
+    """Mean gain, mean beyond 1, shares of windows at three thresholds, and
+    the greatest gain, each as its square root."""
+    x = [min(1.0, float(g.mean())), min(1.0, float(np.maximum(g - 1, 0).mean())), float((g >= 1).mean()),
+         float((g >= 2).mean()), float((g >= NOTABLE).mean()), min(6.0, float(g.max()))]
+    return np.sqrt(np.maximum(x, 0)).tolist()
 
 
 class Model:
@@ -216,7 +229,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         # calibrate on texts that the dictionaries have not seen
         d = Distance(_without(toxic, k), _without(ordinary, k))
         for texts, mark in ((ordinary, 0.0), (toxic, 1.0)):
-            part = texts[k::FOLDS] if len(texts) >= FOLDS else texts
+            part = (texts[k::FOLDS] if len(texts) >= FOLDS else texts)[:CALIBRATION_DOCS // FOLDS]
             rows += [d.features(t)[0] for t in part]
             marks += [mark] * len(part)
     return Model(Distance(toxic, ordinary), np.array(rows), np.array(marks))

@@ -3,6 +3,8 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from durata.llm import shared, token_store
@@ -20,10 +22,22 @@ def library():
 
 
 @pytest.mark.parametrize("text", ["", " ", "Don't STOP  now\n", "naïve Ünïcode İK", "a\x1cb c\x85d", "x" * 3000,
-                                  "é ́e", "ΑΣ ΑΣ.", "<|endoftext|> <|startoftext|>", "12 345", "日本 語"])
-def test_word_by_word_equals_whole_text(library, text):
-    got = np.frombuffer(token_store.WordEncoder(PATH)([text.encode()])[0], "<u4").tolist()
-    assert got == library(text)
+                                  "é ́e", "ΑΣ ΑΣ.", "<|endoftext|> <|startoftext|>", "12 345", "日本 語", "a. b, c.. d., e.,. 3. é. it's. x.'s"])
+def test_word_by_word_equals_whole_text(library, encoder, text):
+    texts = ("x.", text, "", "y")
+    for got, want in zip(encoder([t.encode() for t in texts]), texts, strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == library(want)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'sAbté.,!<|>0Kİ"), st.characters(codec="utf-8")), max_size=40))
+def test_any_text(library, encoder, text):
+    assert np.frombuffer(encoder([text.encode()])[0], "<u4").tolist() == library(text)
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return token_store.WordEncoder(PATH)
 
 
 def check(spark, rows, path, library):
