@@ -40,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that repeat doc_id and text count as copies too."""
     found = ngram_join.similar(docs)
     heads = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["doc_id"]), "left_semi")
+    kept = docs.join(heads.hint("merge"), docs["doc_id"].eqNullSafe(heads["doc_id"]), "left_semi")
     one = Window.partitionBy("doc_id", "__mark").orderBy("__mark")
     return (kept.withColumn("__mark", F.xxhash64("text")).withColumn("__n", F.row_number().over(one))
             .filter("__n = 1").select(*docs.columns))
@@ -50,7 +50,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents that hold no benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     leaked = decontaminate.leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["doc_id"]), "left_anti").select(*docs.columns)
+    return docs.join(leaked.hint("merge"), docs["doc_id"].eqNullSafe(leaked["doc_id"]), "left_anti").select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,7 +92,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count
         raise ValueError(f"columns {sorted(taken)} are in the input already")
     keyed = _keyed(docs, id_col, text_col)
     gone = written(removals(keyed), "op4-removals")
-    d = keyed.join(gone, ["__id", "__mark"], "left").withColumn("__lines", F.split("__text", "\n"))
+    # a merge join at every size: the removals grow with the corpus
+    d = keyed.join(gone.hint("merge"), ["__id", "__mark"], "left").withColumn("__lines", F.split("__text", "\n"))
     g = F.col("__gone")
     kept = F.filter("__lines", lambda x, i: ~F.exists(g, lambda c: (i >= c["from"]) & (i < c["to"])))
     text = F.when(g.isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(kept, "\n"))
