@@ -2,11 +2,12 @@
 
     python -m durata.cli flatten    --pages DIR --mapping CSV --out PATH [--max-files N] [--latest-only]
     python -m durata.cli fit-scores --features PATH --out DIR
-    python -m durata.cli features   --flat PATH --out PATH --as-of DATE [--scores DIR] [--novelty preaggregated]
+    python -m durata.cli features   --flat PATH --out PATH --as-of DATE [--scores DIR]
     python -m durata.cli embed      --flat PATH --out PATH [--ids-txt FILE] [--dims 256]
     python -m durata.cli merge-text --base PATH --vectors PATH --out PATH
     python -m durata.cli evaluate   --features PATH --train-ids FILE --test-ids FILE --out DIR [--overlap test]
     python -m durata.cli ablate     --features PATH --train-ids FILE --test-ids FILE --out DIR
+    (ablate-by-study, engineered, experts: same arguments)
 
 The master, shuffle partitions and checkpoint folder come from the usual
 ``spark-submit`` settings; nothing here assumes a local machine.
@@ -41,15 +42,11 @@ def _ids(spark, path: str) -> DataFrame:
 
 
 def cmd_flatten(spark, a):
-    files = registry.list_pages(spark, a.pages)
-    if a.max_files:
-        files = files[: a.max_files]
-    # the declared schema comes from a sample of pages (one inference pass on
-    # a few files, never on the whole input)
-    sample = files[: a.schema_sample]
-    page = spark.read.option("multiLine", True).json(sample).schema
-    study = page["studies"].dataType.elementType
-    df = registry.scan_pages(spark, a.pages, study, multi_line=True, max_files=a.max_files)
+    # one distributed pass over all pages finds every field, so a field that
+    # only the last page holds is not lost; a page that is no JSON stops the job
+    study = registry.infer_study(spark, a.pages, max_files=a.max_files)
+    df = registry.scan_pages(spark, a.pages, study, multi_line=True, max_files=a.max_files,
+                             partitions=int(spark.conf.get("spark.sql.shuffle.partitions")))
     df = df.withColumn("batch_date", batch_date("source_file"))
     mapping = registry.read_mapping(spark, a.mapping)
     flat = flatten(df, mapping, keep=("source_file", "batch_date"))
@@ -60,7 +57,7 @@ def cmd_flatten(spark, a):
 
 def cmd_fit_scores(spark, a):
     f = spark.read.parquet(a.features).persist()
-    c = scores.fit_complexity(f, "duration_days", id_col="start_year")
+    c = scores.fit_complexity(f, "duration_days", id_col="nct_id")
     t = scores.fit_attractiveness(f)
     spark.createDataFrame([(c.kind, c.to_json()), (t.kind, t.to_json())], "kind string, model string") \
         .coalesce(1).write.mode("overwrite").json(a.out)
@@ -74,7 +71,7 @@ def _load_scores(spark, path):
 def cmd_features(spark, a):
     flat = spark.read.parquet(a.flat)
     models = _load_scores(spark, a.scores) if a.scores else None
-    f = FE.build_features(flat, a.as_of, score_models=models, novelty_method=a.novelty,
+    f = FE.build_features(flat, a.as_of, score_models=models,
                           start_floor=a.start_floor, keep_raw=a.keep_raw)
     registry.write_parquet(f, a.out)
 
@@ -119,36 +116,62 @@ def cmd_evaluate(spark, a):
     out = a.out.rstrip("/")
     registry.write_csv(preds, f"{out}/predictions")
     registry.write_csv(per_seed, f"{out}/metrics_per_seed")
+    mean = model.mean_baseline(tr, "duration_days")
+    base = te.select(F.col("duration_days").cast("double").alias("truth"), F.lit(mean).alias("pred"))
+    registry.write_csv(reports.error_metrics(base, "truth", "pred", scale=365.25), f"{out}/mean_baseline")
     registry.write_csv(reports.seed_summary(per_seed.withColumn("model", F.lit("random_forest")), ["model"]),
                        f"{out}/summary")
     registry.write_csv(reports.per_entity_stats(preds, "nct_id", "abs_err", "truth", "pred"), f"{out}/per_trial")
     registry.write_csv(imps.orderBy(F.desc("importance")), f"{out}/importance")
 
 
+def _summary(m: DataFrame, by: list[str], order: list) -> DataFrame:
+    return reports.seed_summary(m, [*by, "is_baseline"]).orderBy(*order)
+
+
 def cmd_ablate(spark, a):
+    tr, te = (ablation.study_frame(x) for x in _split(spark, a))
+    cols = [c for c in ablation.RAW + ablation.DERIVED + ablation.ENGINEERED if c in tr.columns]
+    sets, baselines = ablation.global_sets(cols)
+    num, cat = ablation.column_kinds(tr, cols)
+    m = ablation.run_sets(tr, te, num, cat, "nct_id", "duration_days", sets, seeds=a.seeds, rf_params=_rf(a),
+                          baseline_sets=baselines)
+    out = a.out.rstrip("/")
+    registry.write_csv(m, f"{out}/metrics")
+    registry.write_csv(_summary(m, ["feature_set"], [F.desc("is_baseline"), F.desc("mae_mean")]), f"{out}/summary")
+
+
+def cmd_ablate_by_study(spark, a):
+    tr, te = (ablation.study_frame(x) for x in _split(spark, a))
+    m = ablation.run_studies(tr, te, "nct_id", "duration_days", seeds=a.seeds, rf_params=_rf(a))
+    out = a.out.rstrip("/")
+    registry.write_csv(m, f"{out}/metrics")
+    registry.write_csv(_summary(m, ["study", "study_order", "feature_set"],
+                                ["study_order", F.desc("is_baseline"), F.desc("mae_mean")]), f"{out}/summary")
+
+
+def cmd_engineered(spark, a):
     tr, te = _split(spark, a)
-    cols = [c for c in ablation_columns() if c in tr.columns]
-    num = [c for c in cols if dict(tr.dtypes)[c] != "string"]
-    cat = [c for c in cols if dict(tr.dtypes)[c] == "string"]
-    m = ablation.run_sets(tr, te, num, cat, "nct_id", "duration_days", ablation.leave_one_out(num + cat),
-                          seeds=a.seeds, rf_params=_rf(a), baseline_sets=("ALL",))
+    num, cat = ablation.column_kinds(tr, [c for c in ablation.ENGINEERED if c in tr.columns])
+    m = ablation.run_sets(tr, te, num, cat, "nct_id", "duration_days", ablation.engineered_sets(tr.columns),
+                          seeds=a.seeds, rf_params=_rf(a), baseline_sets=("ALL_ENGINEERED",))
     out = a.out.rstrip("/")
     registry.write_csv(m, f"{out}/metrics")
-    registry.write_csv(reports.sort_summary(reports.seed_summary(m, ["feature_set", "is_baseline"]),
-                                            baseline_flag="is_baseline"), f"{out}/summary")
+    registry.write_csv(_summary(m, ["feature_set"], [F.desc("is_baseline"), F.desc("mae_mean")]), f"{out}/summary")
 
 
-def ablation_columns() -> list[str]:
-    """Raw, derived and engineered columns of the global study (renamed)."""
-    raw = ["patients", "start_date_ts", "age_min", "age_max", "phase", "study_type", "allocation"]
-    derived = ["site_n", "country_n", "primary_out_n", "secondary_out_n", "other_out_n", "num_arms",
-               "masking_flag", "placebo_flag", "randomized_flag", "fda_drug_flag", "fda_device_flag",
-               "safety_cuts_flag", "patients_per_site", "age_range", "sponsor_class", "intervention_type",
-               "cohort_design", "masking_level", "assessments_n", "elig_crit_n", "freq_in_window", "global_trial",
-               "therapeutic_area", "population_class"]
-    engineered = ["active_prob", "novelty_score", "complexity_score_100", "attractiveness_score_100",
-                  "assessments_complexity"]
-    return raw + derived + engineered
+def cmd_experts(spark, a):
+    """Comparison on an ordered test list: overlap goes to training, results
+    stay in list order, requested but absent ids are reported."""
+    f = spark.read.parquet(a.features)
+    order = idlists.ids_ordered(idlists.read_lines(spark, a.test_ids, ordered=True))
+    s = split.assign_split(f, "nct_id", _ids(spark, a.train_ids), order.select("id"), overlap="train")
+    tr, te = s.where("split = 'train'"), s.where("split = 'test'")
+    preds, _, _ = model.evaluate(tr, te, NUM_COLS, CAT_COLS, "nct_id", "duration_days", seeds=a.seeds, rf_params=_rf(a))
+    stats = reports.per_entity_stats(preds, "nct_id", "abs_err", "truth", "pred")
+    out = a.out.rstrip("/")
+    registry.write_csv(split.ordered_by_list(stats, "nct_id", order), f"{out}/per_trial")
+    registry.write_csv(split.absent_ids(order.select("id"), f, "nct_id"), f"{out}/absent")
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -157,13 +180,12 @@ def main(argv: list[str] | None = None) -> None:
     s = sub.add_parser("flatten")
     s.add_argument("--pages", required=True), s.add_argument("--mapping", required=True)
     s.add_argument("--out", required=True), s.add_argument("--max-files", type=int)
-    s.add_argument("--schema-sample", type=int, default=3), s.add_argument("--latest-only", action="store_true")
+    s.add_argument("--latest-only", action="store_true")
     s = sub.add_parser("fit-scores")
     s.add_argument("--features", required=True), s.add_argument("--out", required=True)
     s = sub.add_parser("features")
     s.add_argument("--flat", required=True), s.add_argument("--out", required=True)
     s.add_argument("--as-of", required=True), s.add_argument("--scores")
-    s.add_argument("--novelty", default="direct", choices=["direct", "preaggregated"])
     s.add_argument("--start-floor", default="2000-01-01"), s.add_argument("--keep-raw", action="store_true")
     s = sub.add_parser("embed")
     s.add_argument("--flat", required=True), s.add_argument("--out", required=True)
@@ -172,7 +194,7 @@ def main(argv: list[str] | None = None) -> None:
     s = sub.add_parser("merge-text")
     s.add_argument("--base", required=True), s.add_argument("--vectors", required=True)
     s.add_argument("--out", required=True)
-    for name in ("evaluate", "ablate"):
+    for name in ("evaluate", "ablate", "ablate-by-study", "engineered", "experts"):
         s = sub.add_parser(name)
         s.add_argument("--features", required=True), s.add_argument("--train-ids", required=True)
         s.add_argument("--test-ids", required=True), s.add_argument("--out", required=True)
@@ -182,7 +204,8 @@ def main(argv: list[str] | None = None) -> None:
     a = p.parse_args(argv)
     spark = _spark()
     {"flatten": cmd_flatten, "fit-scores": cmd_fit_scores, "features": cmd_features, "embed": cmd_embed,
-     "merge-text": cmd_merge_text, "evaluate": cmd_evaluate, "ablate": cmd_ablate}[a.cmd](spark, a)
+     "merge-text": cmd_merge_text, "evaluate": cmd_evaluate, "ablate": cmd_ablate,
+     "ablate-by-study": cmd_ablate_by_study, "engineered": cmd_engineered, "experts": cmd_experts}[a.cmd](spark, a)
 
 
 if __name__ == "__main__":

@@ -6,16 +6,18 @@ tiers, best tier wins:
 1. exact: the normalised value equals a normalised canonical name (1.0);
 2. synonym: the normalised value equals, contains or is contained in a
    normalised synonym (0.95);
-3. fuzzy: similarity ``1 - levenshtein / max(len)`` >= ``threshold`` with at
-   most ``max_edits`` edits.
+3. fuzzy: similarity ``1 - levenshtein / max(len)`` >= ``threshold``.
 
 All tiers are equi-joins.  Containment joins on substrings: substrings of
 each value at the lengths that synonyms have (synonym inside value), and
 all substrings of the synonyms, the bounded dictionary side (value inside
-synonym).  Fuzzy candidates come from deletion
-neighbourhoods: two strings within ``k`` edits share a string obtained by
-deleting at most ``k`` characters from each, so joining on those variants
-finds every pair within ``k`` edits and nothing needs a cross product.
+synonym).  Fuzzy candidates come from pieces: a canonical name of length L
+can reach the threshold with at most ``k = floor((1 - threshold) L /
+threshold)`` edits (its partner is at most L / threshold long), so of its
+``k + 1`` pieces one stands unchanged in the partner, at most ``k`` places
+away.  Joining on pieces and their places therefore finds every pair above
+the threshold, whatever the number of edits, and nothing needs a cross
+product.
 Values are de-duplicated first, so a value repeated in a third of the rows
 is matched once.
 """
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import _c
+from ..functions.rules import _c, py_strip
 
 # Name normalisation (fixed rules): lower/strip, "#" -> "num ", "number" -> "num",
 # runs of _ - / -> space, "count" -> "n", "randomised" -> "randomized",
@@ -33,7 +35,7 @@ from ..functions.rules import _c
 
 
 def normalise_name(c) -> Column:
-    s = F.lower(F.trim(_c(c)))
+    s = F.lower(py_strip(_c(c)))
     s = F.replace(s, F.lit("#"), F.lit("num "))
     s = F.replace(s, F.lit("number"), F.lit("num"))
     s = F.regexp_replace(s, r"[_\-/]+", " ")
@@ -58,18 +60,32 @@ def pretty_labels(df: DataFrame, col: str, labels: DataFrame, out: str = "label"
     return j.withColumn(out, F.coalesce("__v", tidy_label(col))).drop("__k", "__v")
 
 
-def _deletion_variants(c: Column, k: int) -> Column:
-    """All strings obtained by deleting up to ``k`` characters (array)."""
-    variants = F.array(c)
-    for _ in range(k):
-        variants = F.array_distinct(F.flatten(F.transform(
-            variants,
-            lambda s: F.array_union(
-                F.array(s),
-                F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))),
-                            lambda i: F.concat(F.substring(s, 1, i - 1), F.substring(s, i + 1, 1 << 30)))),
-        )))
-    return variants
+def _near(vals: DataFrame, canon: DataFrame, threshold: float) -> DataFrame:
+    """(value, nv, canonical, nc) of all pairs that share a piece of the
+    canonical name at nearly the same place; it holds every pair whose
+    similarity reaches ``threshold``."""
+    n = F.length("nc")
+    edits = F.floor((1.0 - threshold) * n / threshold + 1e-9).cast("int")
+    c = canon.select("canonical", "nc", edits.alias("k"), n.alias("n")).where("n > 0")
+    # pieces 1 .. k + 1, the first ones a character longer if the length does not divide
+    cut = lambda i: (i * F.col("n") / (F.col("k") + 1)).cast("int")
+    pieces = c.select("canonical", "nc", "k", F.explode(F.transform(
+        F.sequence(F.lit(0), F.col("k")), lambda i: F.struct(
+            (cut(i) + 1).alias("at"), F.expr("nc").substr(cut(i) + 1, cut(i + 1) - cut(i)).alias("piece"))))
+        .alias("p")).select("canonical", "nc", "k", "p.at", "p.piece")
+    sizes = [r[0] for r in pieces.select(F.length("piece")).distinct().collect()]
+    if 0 in sizes:
+        raise ValueError("a threshold below 0.5 leaves pieces without characters")
+    if not sizes:
+        return vals.select("value", "nv", F.lit("").alias("canonical"), F.lit("").alias("nc")).where("false")
+    m = F.length("nv")
+    subs = F.flatten(F.transform(F.array(*[F.lit(k) for k in sorted(sizes)]), lambda k: F.transform(
+        F.when(k <= m, F.sequence(F.lit(1), m - k + 1)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct(i.alias("spot"), F.substring("nv", i, k).alias("piece")))))
+    spots = vals.where(m > 0).select("value", "nv", F.explode(subs).alias("s")).select("value", "nv", "s.spot", "s.piece")
+    return (spots.join(pieces, "piece").where("abs(spot - at) <= k").where(
+        F.least(F.length("nv"), F.length("nc")) >= F.lit(threshold) * F.greatest(F.length("nv"), F.length("nc")) - 1e-9)
+        .select("value", "nv", "canonical", "nc").distinct())
 
 
 def _substrings(c: Column, lengths: Column) -> Column:
@@ -81,7 +97,7 @@ def _substrings(c: Column, lengths: Column) -> Column:
 
 
 def harmonise(df: DataFrame, col: str, dictionary: DataFrame, synonyms: DataFrame | None = None,
-              threshold: float = 0.70, max_edits: int = 2, canon_col: str = "canonical",
+              threshold: float = 0.70, fuzzy: bool = True, canon_col: str = "canonical",
               syn_col: str = "synonym") -> DataFrame:
     """Add ``match``, ``confidence``, ``reason`` to every row of ``df``."""
     vals = (df.select(F.col(col).alias("value")).where(F.col("value").isNotNull()).distinct()
@@ -110,15 +126,13 @@ def harmonise(df: DataFrame, col: str, dictionary: DataFrame, synonyms: DataFram
                      .select("value", "canonical", F.lit(0.95).alias("confidence"),
                              F.concat(F.lit("synonym:"), "syn").alias("reason"), F.lit(0).alias("dist"),
                              F.lit(1).alias("tier")))
-    if max_edits > 0:
-        vv = vals.select("value", "nv", F.explode(_deletion_variants(F.col("nv"), max_edits)).alias("var"))
-        cv = canon.select("canonical", "nc", F.explode(_deletion_variants(F.col("nc"), max_edits)).alias("var"))
-        pairs = vv.join(cv, "var").select("value", "nv", "canonical", "nc").distinct()
+    if fuzzy:
         d = F.levenshtein("nv", "nc")
         sim = F.lit(1.0) - d / F.greatest(F.length("nv"), F.length("nc"), F.lit(1))
-        tiers.append(pairs.select("value", "canonical", sim.alias("confidence"),
-                                  F.lit("fuzzy").alias("reason"), d.alias("dist"), F.lit(2).alias("tier"))
-                     .where((F.col("dist") <= max_edits) & (F.col("confidence") >= threshold)))
+        tiers.append(_near(vals, canon, threshold)
+                     .select("value", "canonical", sim.alias("confidence"), F.lit("fuzzy").alias("reason"),
+                             d.alias("dist"), F.lit(2).alias("tier"))
+                     .where(F.col("confidence") >= threshold))
     cand = tiers[0]
     for t in tiers[1:]:
         cand = cand.unionByName(t)

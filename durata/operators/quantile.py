@@ -1,10 +1,10 @@
 """Median impute + quantile-to-uniform transform (M1 part, M4).
 
-Fit: one aggregate computes, per column, the median (for imputation) and
-``n_quantiles`` knots at evenly spaced probabilities of the imputed values
-(linear interpolation, i.e. NumPy's default).  Exact ``percentile`` holds a
-column's values in one buffer, so above ``exact_max_rows`` the fit uses
-``percentile_approx``.  The model is a handful of numbers per column.
+Fit: per column the median (for imputation) and ``n_quantiles`` knots at
+evenly spaced probabilities of the imputed values (linear interpolation, i.e.
+NumPy's default), exact at every size by counting per distinct value
+(``ranks``).  The model is a handful of numbers per column; a column without
+any value has the median 0.
 
 Transform (native, no UDF): ``Bucketizer`` binary-searches the distinct
 knots, then interpolation runs as column arithmetic on the bucket index.
@@ -24,7 +24,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EXACT_MAX_ROWS = 50_000_000
+from .ranks import RankedValues, exact_quantiles
 
 
 @dataclass
@@ -102,31 +102,24 @@ class QuantileUniformModel:
 
 class QuantileUniform:
     def __init__(self, input_cols: Sequence[str], output_cols: Sequence[str] | None = None,
-                 n_quantiles: int = 1000, exact: bool | None = None):
+                 n_quantiles: int = 1000):
         self.input_cols = list(input_cols)
         self.output_cols = list(output_cols or [f"{c}_q" for c in input_cols])
         self.n_quantiles = n_quantiles
-        self.exact = exact
 
     def fit(self, df: DataFrame) -> QuantileUniformModel:
-        n_rows = None
-        exact = self.exact
-        if exact is None or self.n_quantiles is None:
-            n_rows = df.count()
-            exact = n_rows <= EXACT_MAX_ROWS if exact is None else exact
-        nq = self.n_quantiles if n_rows is None else min(self.n_quantiles, n_rows)
+        halves = exact_quantiles(df, self.input_cols, [0.5])
+        medians = [m[0] if (m := halves[c]) else 0.0 for c in self.input_cols]
+        names = [f"v{j}" for j in range(len(self.input_cols))]
+        imputed = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(float(medians[j]))).alias(names[j])
+                              for j, c in enumerate(self.input_cols)])
+        ranked = RankedValues(imputed, names)
+        nq = max(1, min(self.n_quantiles, ranked.count[names[0]]))
         refs = [i / (nq - 1) for i in range(nq)] if nq > 1 else [0.0]
-        med = [F.median(c) if exact else F.percentile_approx(c, 0.5, 1_000_000) for c in self.input_cols]
-        medians = list(df.agg(*[m.alias(f"m{j}") for j, m in enumerate(med)]).first())
-        imputed = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(float(medians[j])))
-                              .alias(f"v{j}") for j, c in enumerate(self.input_cols)])
-        arr = F.array(*[F.lit(float(r)) for r in refs])
-        qs = [F.percentile(f"v{j}", arr) if exact else F.percentile_approx(f"v{j}", arr, 1_000_000)
-              for j in range(len(self.input_cols))]
-        row = imputed.agg(*[q.alias(f"q{j}") for j, q in enumerate(qs)]).first()
+        row = ranked.quantiles(refs)
         knots = []
         for j in range(len(self.input_cols)):
-            k = [float(v) for v in row[f"q{j}"]]
+            k = row[names[j]] or [0.0] * nq
             for i in range(1, len(k)):  # monotone, as the reference transformer enforces
                 k[i] = max(k[i], k[i - 1])
             knots.append(k)

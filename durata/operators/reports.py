@@ -1,9 +1,9 @@
 """Aggregations and reports.
 
-All of them are single-pass ``agg`` calls (partial aggregation before the
-shuffle); none collects rows to the driver.  Exact percentiles hold the
-values of a group in one buffer, so ``describe``/``box_stats`` switch to
-``percentile_approx`` above ``exact_max_rows`` (decided from a cheap count).
+Most are single-pass ``agg`` calls (partial aggregation before the shuffle);
+none collects rows to the driver.  Percentiles of ``describe`` and
+``box_stats`` are exact at every size, by counting per distinct value
+(``ranks``).
 """
 
 from __future__ import annotations
@@ -14,29 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import DAYS_PER_YEAR, day_diff, parse_date_any
+from .ranks import exact_quantiles
 
 DESCRIBE_PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
-EXACT_MAX_ROWS = 50_000_000
-APPROX_ACCURACY = 1_000_000
 
 
 def _pct_name(p: float) -> str:
     return f"p{int(round(p * 100)):02d}"
 
 
-def percentiles(c: str, ps: Sequence[float], exact: bool = True) -> Column:
-    arr = F.array(*[F.lit(float(p)) for p in ps])
-    if exact:
-        return F.percentile(F.col(c), arr)
-    return F.percentile_approx(F.col(c), arr, APPROX_ACCURACY)
-
-
-def _use_exact(df: DataFrame, exact: bool | None) -> bool:
-    if exact is not None:
-        return exact
-    return df.count() <= EXACT_MAX_ROWS
-
-
 def error_metrics(df: DataFrame, truth: str, pred: str, by: Sequence[str] = (),
                   scale: float = 1.0) -> DataFrame:
     """A5: n, MAE, RMSE, R^2 in one pass (R^2 = 1 - SSE / (n var_pop(y)))."""
@@ -76,16 +62,14 @@ def per_entity_stats(preds: DataFrame, id_col: str, err: str, truth: str | None
                .withColumn("err_std_years", F.col("err_std") / days_per_year))
 
 
-def describe(df: DataFrame, col: str, ps: Sequence[float] = DESCRIBE_PERCENTILES,
-             exact: bool | None = None) -> DataFrame:
+def describe(df: DataFrame, col: str, ps: Sequence[float] = DESCRIBE_PERCENTILES) -> DataFrame:
     """Count, mean, std, min, percentiles, max of one column."""
-    ex = _use_exact(df, exact)
-    q = percentiles(col, ps, ex)
+    q = exact_quantiles(df, [col], ps)[col] or [None] * len(ps)
     r = df.agg(F.count(col).alias("count"), F.avg(col).alias("mean"),
                F.stddev_samp(col).alias("std"), F.min(col).alias("min"),
-               q.alias("__q"), F.max(col).alias("max"))
+               F.max(col).alias("max"))
     return r.select("count", "mean", "std", "min",
-                    *[F.col("__q")[i].alias(_pct_name(p)) for i, p in enumerate(ps)], "max")
+                    *[F.lit(q[i]).cast("double").alias(_pct_name(p)) for i, p in enumerate(ps)], "max")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
@@ -101,11 +85,10 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
                       (F.lit(mn) + F.col("bin") * width).alias("hi"), "n")
 
 
-def box_stats(df: DataFrame, col: str, exact: bool | None = None) -> DataFrame:
+def box_stats(df: DataFrame, col: str) -> DataFrame:
     """Quartiles, IQR, 1.5 IQR whiskers (most extreme points inside),
     outlier count."""
-    ex = _use_exact(df, exact)
-    q1, med, q3 = df.agg(percentiles(col, (0.25, 0.5, 0.75), ex).alias("q")).first()["q"]
+    q1, med, q3 = exact_quantiles(df, [col], (0.25, 0.5, 0.75))[col] or (0.0, 0.0, 0.0)
     iqr = q3 - q1
     lo, hi = q1 - 1.5 * iqr, q3 + 1.5 * iqr
     x = F.col(col)
@@ -140,12 +123,19 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
+def scaled_100(x: Column, smin: float | None, smax: float | None) -> Column:
+    """100 (x - min) / (max - min); 0 where min and max are equal."""
+    if smin is None or smax is None or smin == smax:
+        return F.when(x.isNotNull(), F.lit(0.0))
+    return F.lit(100.0) * (x - F.lit(smin)) / F.lit(smax - smin)
+
+
 def minmax_scale(df: DataFrame, col: str, out: str, smin: float | None = None,
                  smax: float | None = None) -> tuple[DataFrame, float, float]:
     """100 (x - Smin) / (Smax - Smin); Smin/Smax fitted when not given."""
     if smin is None or smax is None:
         smin, smax = df.agg(F.min(col), F.max(col)).first()
-    return df.withColumn(out, F.lit(100.0) * (F.col(col) - smin) / F.lit(smax - smin)), smin, smax
+    return df.withColumn(out, scaled_100(F.col(col), smin, smax)), smin, smax
 
 
 def concat_blocks(blocks: Sequence[tuple[str, DataFrame]], label_col: str = "block") -> DataFrame:

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quantile import QuantileUniform, QuantileUniformModel
+from .ranks import contiguous_folds
+from .reports import scaled_100
 
 # Design columns of the two scores (fixed values of the reference, renamed).
 COMPLEXITY_COLS = ["site_n", "country_n", "assessments_n", "elig_crit_n", "num_arms", "patients"]
@@ -37,7 +39,7 @@ def weighted_score(df: DataFrame, cols: Sequence[str], beta: Sequence[float], ou
     d = df.withColumn("__raw", raw)
     if smin is None or smax is None:
         smin, smax = d.agg(F.min("__raw"), F.max("__raw")).first()
-    d = d.withColumn(out, F.lit(100.0) * (F.col("__raw") - F.lit(smin)) / F.lit(smax - smin)).drop("__raw")
+    d = d.withColumn(out, scaled_100(F.col("__raw"), smin, smax)).drop("__raw")
     return d, smin, smax
 
 
@@ -68,19 +70,6 @@ class ScoreModel:
                    d["smin"], d["smax"], d.get("alpha"), d.get("out", "score_100"))
 
 
-def fold_column(df: DataFrame, order_col: str, folds: int) -> F.Column:
-    """Contiguous folds by ``order_col`` (the reference's K-fold does not
-    shuffle): cut points are approximate quantiles of a numeric order
-    column, so no global sort or single-partition window is needed."""
-    if dict(df.dtypes)[order_col] in ("string",):
-        return F.pmod(F.xxhash64(order_col), F.lit(folds)).cast("int")
-    cuts = df.approxQuantile(order_col, [k / folds for k in range(1, folds)], 1e-4)
-    f = F.lit(0)
-    for c in cuts:
-        f = f + (F.col(order_col) > F.lit(c)).cast("int")
-    return f
-
-
 def gram_stats(df: DataFrame, feats: Sequence[str], label: str, by: str | None = None) -> dict:
     """Sufficient statistics of a linear model in one aggregate:
     n, sum x, sum y, sum xx', sum xy, sum yy (per group when ``by``)."""
@@ -124,7 +113,7 @@ def ridge_r2(st: dict, w, b) -> float:
     sse = (st["syy"] - 2 * b * st["sy"] - 2 * w @ st["sxy"] + n * b * b + 2 * b * w @ st["sx"]
            + w @ st["sxx"] @ w)
     sst = st["syy"] - st["sy"] ** 2 / n
-    return 1.0 - sse / sst
+    return 1.0 - sse / sst if sst > 0 else 0.0
 
 
 def ridge_cv(df: DataFrame, feats: Sequence[str], label: str, fold: str, alphas: Sequence[float]):
@@ -133,10 +122,10 @@ def ridge_cv(df: DataFrame, feats: Sequence[str], label: str, fold: str, alphas:
     total = None
     for st in per.values():
         total = st if total is None else _add(total, st)
-    best, best_r2 = None, -math.inf
-    for a in alphas:
+    best, best_r2 = alphas[0], -math.inf
+    for a in alphas if len(per) > 1 else ():
         r2 = []
-        for k, st in per.items():
+        for st in per.values():
             w, b = ridge_solve(_add(total, st, -1.0), a)
             r2.append(ridge_r2(st, w, b))
         m = sum(r2) / len(r2)
@@ -149,14 +138,15 @@ def ridge_cv(df: DataFrame, feats: Sequence[str], label: str, fold: str, alphas:
 def fit_complexity(df: DataFrame, duration: str = "duration_days", cols: Sequence[str] = COMPLEXITY_COLS,
                    id_col: str | None = None, alphas: Sequence[float] = RIDGE_ALPHAS, folds: int = 5,
                    n_quantiles: int = 1000, out: str = "complexity_score_100") -> ScoreModel:
-    """M5/M6: ridge weights over quantile ranks, contiguous K-fold CV (r2).
+    """M5/M6: ridge weights over quantile ranks, K-fold CV (r2) over
+    contiguous blocks of ``id_col``'s order.
 
     The fit reads its input a few times (medians, knots, fold cuts, one
     statistics pass, min/max): the narrow input projection is persisted."""
     src = df.select(*{*cols, duration, id_col or cols[0]}).persist()
     qt = QuantileUniform(cols, [f"__u{i}" for i in range(len(cols))], n_quantiles=n_quantiles).fit(src)
     u = qt.transform(src).withColumn("__y", F.log(F.col(duration).cast("double")))
-    u = u.withColumn("__fold", fold_column(u, id_col or cols[0], folds))
+    u = u.withColumn("__fold", contiguous_folds(u, id_col or cols[0], folds))
     feats = qt.output_cols
     alpha, beta, _ = ridge_cv(u, feats, "__y", "__fold", alphas)
     _, smin, smax = weighted_score(u, feats, beta, "__s")

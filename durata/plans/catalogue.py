@@ -702,28 +702,30 @@ SELECT o_orderkey, o_custkey, CAST(freq AS BIGINT) AS freq_in_window, round(1.0
 """
 
 
-def _q19(spark, sf, method):
-    o = T(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    f = novelty.trailing_frequency(o, "o_custkey", "o_orderdate", "o_orderkey", 1825, method=method)
+def _q19(spark, sf, o=None):
+    o = T(spark, sf, "orders") if o is None else o
+    o = o.select("o_orderkey", "o_custkey", "o_orderdate")
+    f = novelty.trailing_frequency(o, "o_custkey", "o_orderdate", "o_orderkey", 1825)
     f = novelty.novelty_score(f)
     return f.select("o_orderkey", "o_custkey", "freq_in_window", r4("novelty_score").alias("novelty_score"))
 
 
 @query("q19_novelty", _Q19_SQL)
 def q19(spark, sf):
-    return _q19(spark, sf, "direct")
+    return _q19(spark, sf)
 
 
 @query("q20_novelty_preagg", _Q19_SQL)
 def q20(spark, sf):
-    return _q19(spark, sf, "preaggregated")
+    """The same from another layout of the input."""
+    return _q19(spark, sf, T(spark, sf, "orders").repartition("o_orderdate"))
 
 
 # ---------------------------------------------------------------------------
 # q21 vector left join + coverage + expansion (J1 A13 T6x)
 # ---------------------------------------------------------------------------
 
-EMB_DIMS = 64
+EMB_DIMS = 64  # width in the SQL; the query takes it from the data
 
 
 @query("q21_vectors", "SELECT doc_id, CAST(embedding IS NULL OR list_has_any(list_transform(embedding, lambda x: x IS NULL), [true]) AS BIGINT) AS missing_vec, "
@@ -732,8 +734,9 @@ EMB_DIMS = 64
 def q21(spark, sf):
     d = T(spark, sf, "documents").select("doc_id")
     j = vectors.vector_left_join(d, "doc_id", T(spark, sf, "embeddings"), "vec_id", "embedding")
+    width = T(spark, sf, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
     return j.select("doc_id", vectors.missing_vector("embedding").alias("missing_vec"),
-                    *vectors.expand_columns("embedding", EMB_DIMS, "emb_", digits=4))
+                    *vectors.expand_columns("embedding", width, "emb_", digits=4))
 
 
 # ---------------------------------------------------------------------------
@@ -1106,7 +1109,7 @@ def q31(spark, sf):
     f = (T(spark, sf, "lineitem").groupBy("l_orderkey")
          .agg(F.count(F.lit(1)).cast("double").alias("n_lines"), F.sum("l_quantity").alias("qty"),
               F.avg("l_discount").alias("disc")))
-    qt = QuantileUniform(Q31_COLS, ["u_lines", "u_qty", "u_disc"], n_quantiles=5, exact=True).fit(f)
+    qt = QuantileUniform(Q31_COLS, ["u_lines", "u_qty", "u_disc"], n_quantiles=5).fit(f)
     u = qt.transform(f)
     s, _, _ = weighted_score(u, ["u_lines", "u_qty", "u_disc"], Q31_BETA, "score")
     return s.select("l_orderkey", *[r4(c).alias(c) for c in ("u_lines", "u_qty", "u_disc", "score")])
@@ -1216,8 +1219,7 @@ cand AS (
     ON nv <> '' AND ns <> '' AND (contains(nv, ns) OR contains(ns, nv))
   UNION ALL
   SELECT value, canonical, 1.0 - levenshtein(nv, nc) / greatest(length(nv), length(nc), 1), 'fuzzy', levenshtein(nv, nc), 2
-  FROM vn, cn WHERE levenshtein(nv, nc) <= 2
-    AND 1.0 - levenshtein(nv, nc) / greatest(length(nv), length(nc), 1) >= 0.7),
+  FROM vn, cn WHERE 1.0 - levenshtein(nv, nc) / greatest(length(nv), length(nc), 1) >= 0.7),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY value ORDER BY confidence DESC, tier, dist, canonical, reason) AS r
                         FROM cand) WHERE r = 1)
 SELECT p_partkey, x.value, canonical AS match, round(confidence, 4) AS confidence, reason
@@ -1238,7 +1240,7 @@ def q34(spark, sf):
     canon = p.select(F.col("p_name").alias("canonical")).distinct()
     syn = canon.select("canonical", F.concat_ws(" ", F.get(F.split("canonical", " "), 1),
                                                 F.get(F.split("canonical", " "), 0)).alias("synonym"))
-    h = harmonise.harmonise(vals, "value", canon, syn, threshold=0.70, max_edits=2)
+    h = harmonise.harmonise(vals, "value", canon, syn, threshold=0.70)
     return h.select("p_partkey", "value", "match", r4("confidence").alias("confidence"), "reason")
 
 
@@ -1324,6 +1326,5 @@ def q20_skewed(spark, sf):
     o = T(spark, sf, "orders").select(
         "o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.lit(0).cast("long")).otherwise(F.col("o_custkey")).alias("k"),
         "o_orderdate")
-    f = novelty.novelty_score(novelty.trailing_frequency(o, "k", "o_orderdate", "o_orderkey", 1825,
-                                                         method="preaggregated"))
+    f = novelty.novelty_score(novelty.trailing_frequency(o, "k", "o_orderdate", "o_orderkey", 1825))
     return f.select("o_orderkey", "k", "freq_in_window", r4("novelty_score").alias("novelty_score"))

@@ -21,6 +21,10 @@ START_FLOOR = "1995-01-01"
 # Lighter forest for the catalogue runs (the library default is the
 # reference's 300 trees / depth 20 configuration in ``model.RF_PARAMS``).
 JOB_RF = dict(numTrees=20, maxDepth=10)
+# The catalogue's ablation runs fit every set of the studies with one small
+# forest; ``ablation``'s defaults are the full forest and all five seeds.
+ABLATION_RF = dict(numTrees=4, maxDepth=5)
+# Columns of the out-of-time evaluation (fixed values).
 NUM_COLS = ["primary_out_n", "secondary_out_n", "other_out_n", "num_arms", "masking_flag", "placebo_flag",
             "elig_crit_n", "safety_cuts_flag", "age_min", "age_max", "age_range", "randomized_flag",
             "fda_drug_flag", "fda_device_flag", "freq_in_window"]
@@ -37,9 +41,9 @@ def job(name):
     return deco
 
 
-def features_frame(spark: SparkSession, sf: str, method: str = "direct") -> DataFrame:
+def features_frame(spark: SparkSession, sf: str) -> DataFrame:
     flat = FE.flatten(FE.derive_studies(spark, sf, with_summary=False), FE.FLAT_MAPPING)
-    return FE.build_features(flat, AS_OF, novelty_method=method, start_floor=START_FLOOR)
+    return FE.build_features(flat, AS_OF, start_floor=START_FLOOR)
 
 
 @job("xf_features")
@@ -63,7 +67,7 @@ def xf_features(spark, sf):
 @job("w1_complexity_score")
 def w1(spark, sf):
     f = features_frame(spark, sf).persist()
-    m = scores.fit_complexity(f, "duration_days", id_col="start_year")
+    m = scores.fit_complexity(f, "duration_days", id_col="nct_id")
     return m.transform(f).select("nct_id", "complexity_score_100")
 
 
@@ -134,29 +138,52 @@ def w7(spark, sf):
     return split.ordered_by_list(stats, "nct_id", te_list)
 
 
+@job("w3_forest_bound")
+def w3_bound(spark, sf):
+    """Per seed: MAE of the training mean on the test rows, and whether the
+    forest's is lower."""
+    tr, te = _oot_split(features_frame(spark, sf).persist())
+    _, per_seed, _ = model.evaluate(tr, te, NUM_COLS, CAT_COLS, "nct_id", "duration_days", rf_params=JOB_RF)
+    mean = model.mean_baseline(tr, "duration_days")
+    mae = te.select((F.avg(F.abs(F.col("duration_days") - F.lit(mean))) / 365.25).alias("mean_mae")).first()[0]
+    return per_seed.select("seed", F.round(F.lit(mae), 4).alias("mean_mae"), (F.col("mae") < F.lit(mae)).alias("beats_mean"))
+
+
+def _scored_split(spark, sf):
+    """Out-of-time split with the two scores, fitted on the training rows."""
+    f = features_frame(spark, sf).persist()
+    tr, te = _oot_split(f)
+    c = scores.fit_complexity(tr, "duration_days", id_col="nct_id")
+    t = scores.fit_attractiveness(tr)
+    return tuple(ablation.study_frame(t.transform(c.transform(x))) for x in (tr, te))
+
+
 @job("w4_engineered_inclusion")
 def w4_inclusion(spark, sf):
-    """All engineered columns on top of a base set, then each alone."""
-    f = features_frame(spark, sf).persist()
-    m = scores.fit_complexity(f, "duration_days", id_col="start_year", n_quantiles=100).transform(f)
-    m = scores.fit_attractiveness(m, n_quantiles=100).transform(m)
-    tr, te = _oot_split(m)
-    base = ["num_arms", "elig_crit_n", "phase"]
-    extra = ["active_prob", "novelty_score", "complexity_score_100", "attractiveness_score_100"]
-    sets = ablation.single_features(base, extra)
-    sets["BASE"] = base
-    return ablation.run_sets(tr, te, base[:2] + extra, base[2:], "nct_id", "duration_days", sets, seeds=(42, 43),
-                             rf_params=dict(numTrees=10, maxDepth=8), baseline_sets=("BASE",))
+    """All five engineered columns alone, then each alone."""
+    tr, te = _scored_split(spark, sf)
+    num, cat = ablation.column_kinds(tr, ablation.ENGINEERED)
+    return ablation.run_sets(tr, te, num, cat, "nct_id", "duration_days", ablation.engineered_sets(tr.columns),
+                             seeds=(42, 43), rf_params=ABLATION_RF, baseline_sets=("ALL_ENGINEERED",))
 
 
 @job("w4_ablation")
 def w4(spark, sf):
+    """Three baselines, then each of the 36 columns left out."""
+    tr, te = _scored_split(spark, sf)
+    cols = ablation.RAW + ablation.DERIVED + ablation.ENGINEERED
+    sets, baselines = ablation.global_sets(cols)
+    num, cat = ablation.column_kinds(tr, cols)
+    return ablation.run_sets(tr, te, num, cat, "nct_id", "duration_days", sets, seeds=(42,),
+                             rf_params=ABLATION_RF, baseline_sets=baselines)
+
+
+@job("w4_ablation_by_study")
+def w4_by_study(spark, sf):
+    """Per study its baseline, then its leave-one-out sets."""
     tr, te = _oot_split(features_frame(spark, sf).persist())
-    cols = ["num_arms", "elig_crit_n", "age_min", "freq_in_window", "phase", "allocation"]
-    sets = ablation.leave_one_out(cols)
-    m = ablation.run_sets(tr, te, cols[:4], cols[4:], "nct_id", "duration_days", sets, seeds=(42, 43),
-                          rf_params=dict(numTrees=10, maxDepth=8), baseline_sets=("ALL",))
-    return m
+    return ablation.run_studies(ablation.study_frame(tr), ablation.study_frame(te), "nct_id", "duration_days",
+                                seeds=(42,), rf_params=ABLATION_RF)
 
 
 @job("w5_embedding")
@@ -298,3 +325,13 @@ FROM f2
 WHERE duration_days BETWEEN 30 AND 3650 AND patients IS NOT NULL AND patients >= 10
 """
 ORACLE["xf_features"] = _XF_SQL.replace("__TA__", catalogue._ta_sql("condition_top"))
+
+
+# Mean baseline of the out-of-time split (1999 starts are in both lists and
+# count as test); that every seed's forest beats it is the claim.
+ORACLE["w3_forest_bound"] = f"""
+WITH x AS ({ORACLE["xf_features"]}),
+m AS (SELECT avg(duration_days) AS mean FROM x WHERE start_year < 1999),
+b AS (SELECT round(avg(abs(duration_days - mean)) / 365.25, 4) AS mean_mae FROM x, m WHERE start_year >= 1999)
+SELECT CAST(unnest([42, 43, 44, 45, 46]) AS INTEGER) AS seed, mean_mae, true AS beats_mean FROM b
+"""

@@ -36,16 +36,26 @@ def list_pages(spark: SparkSession, path: str, pattern: str = "*.json*") -> list
     return sorted(names)
 
 
+def _pages(spark: SparkSession, reader, path: str, max_files: int | None) -> DataFrame:
+    if max_files is not None:
+        return reader.json(list_pages(spark, path)[:max_files])
+    return reader.option("pathGlobFilter", "*.json*").option("recursiveFileLookup", "true").json(path)
+
+
+def infer_study(spark: SparkSession, path: str, multi_line: bool = True, max_files: int | None = None) -> T.StructType:
+    """Type of a study over all pages (one distributed pass)."""
+    reader = spark.read.option("multiLine", multi_line).option("mode", "FAILFAST")
+    return _pages(spark, reader, path, max_files).schema["studies"].dataType.elementType
+
+
 def scan_pages(spark: SparkSession, path: str, study: T.StructType, multi_line: bool = True,
                partitions: int | None = None, file_col: str = "source_file",
                max_files: int | None = None) -> DataFrame:
     """Every page file under ``path``; one row per study plus the source
-    file name.  ``max_files`` keeps the first files in name order (smoke runs)."""
-    reader = spark.read.schema(page_schema(study)).option("multiLine", multi_line)
-    if max_files is not None:
-        r = reader.json(list_pages(spark, path)[:max_files])
-    else:
-        r = reader.option("pathGlobFilter", "*.json*").option("recursiveFileLookup", "true").json(path)
+    file name.  A malformed page stops the read.  ``max_files`` keeps the
+    first files in name order (smoke runs)."""
+    reader = spark.read.schema(page_schema(study)).option("multiLine", multi_line).option("mode", "FAILFAST")
+    r = _pages(spark, reader, path, max_files)
     s = r.select(F.col("_metadata.file_path").alias(file_col), F.explode("studies").alias("study"))
     s = s.select(file_col, "study.*")
     return s.repartition(partitions) if partitions else s

@@ -23,7 +23,7 @@ def test_workflow(spark, tmp_path):
     cli.main(["features", "--flat", t("flat"), "--out", t("f0"), "--as-of", "2002-12-31", "--start-floor", "1995-01-01"])
     cli.main(["fit-scores", "--features", t("f0"), "--out", t("scores")])
     cli.main(["features", "--flat", t("flat"), "--out", t("f1"), "--as-of", "2002-12-31", "--start-floor", "1995-01-01",
-              "--scores", t("scores"), "--novelty", "preaggregated"])
+              "--scores", t("scores")])
     f1 = spark.read.parquet(t("f1"))
     assert {"complexity_score_100", "attractiveness_score_100", "start_date_ts"} <= set(f1.columns)
     ids = [r.nct_id for r in f1.select("nct_id").orderBy("nct_id").collect()]

@@ -22,7 +22,7 @@ def test_quantile_uniform_matches_numpy(spark):
     b = rng.normal(size=a.size)
     df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(zip(a, b))], "id long, a double, b double")
     for nq in (5, 50):
-        m = QuantileUniform(["a", "b"], ["ua", "ub"], n_quantiles=nq, exact=True).fit(df)
+        m = QuantileUniform(["a", "b"], ["ua", "ub"], n_quantiles=nq).fit(df)
         refs = np.linspace(0, 1, nq)
         out = sorted((r.id, r.ua, r.ub) for r in m.transform(df).collect())
         for col, j in (("a", 1), ("b", 2)):
@@ -35,7 +35,7 @@ def test_quantile_uniform_matches_numpy(spark):
 
 def test_quantile_imputes_median(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,), (None,)], "a double")
-    m = QuantileUniform(["a"], ["u"], n_quantiles=5, exact=True).fit(df)
+    m = QuantileUniform(["a"], ["u"], n_quantiles=5).fit(df)
     assert m.medians == [2.5]
 
 
