@@ -20,7 +20,9 @@ empty store.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
+import re
 import string
 import struct
 import zlib
@@ -29,6 +31,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from durata.llm.hashing import SPACED
+
 SAMPLE_DOCS = 1_000
 SAMPLE_BYTES = 8 << 20
 #: Below this many bytes of sampled ids no dictionary is trained.
@@ -37,7 +41,11 @@ DICT_BYTES = 64 << 10
 LEVEL = 3
 SHARD_BYTES = 4 << 20
 #: Distinct words a worker remembers; it starts afresh beyond.
-MEMORY = 1_000_000
+MEMORY = 1_500_000
+_PLAIN = re.compile("[a-z]+")
+_STOP, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_STOP[list(b".,")] = True
+_LETTER[list(string.ascii_letters.encode())] = True
 _ENTRY = np.dtype([("null", "?"), ("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("n_tokens", "<u8")])
 SHARD_SCHEMA = ("part int, base long, first_id long, last_id long, n_docs long, n_tokens long, "
                 "dict_hash string, width int, entries binary, frames binary")
@@ -47,34 +55,119 @@ class WordEncoder:
     """Ids of whole texts from a ``tokenizers`` file whose pre-tokenizer drops
     white space: no token spans two words, so each distinct word (between
     ASCII white space) goes through the library once per worker.  ASCII
-    letters are lowered first if the tokenizer's normalizer lowers anyway."""
+    letters are lowered first if the tokenizer's normalizer lowers anyway, and
+    stops and commas behind an ASCII letter are words of their own if the
+    pre-tokenizer parts them anyway."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.lowers = self._ids(string.ascii_uppercase) == self._ids(string.ascii_lowercase)
         if self._ids("a b") != self._ids("a") + self._ids("b"):
             raise ValueError("this tokenizer keeps white space; words cannot be encoded one by one")
-        self.memory: dict[bytes, bytes] = {}
+        self.parts = all(self._ids(f"{x}{p}") == self._ids(f"{x} {p}") for x in string.ascii_letters
+                         for p in (".", ",", "..", ",.", ",,", ".,", "..."))
+        # for words of small ASCII letters, normalizer and splitting pattern change nothing
+        self.lean = Tokenizer.from_file(path)
+        self.lean.normalizer, self.lean.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        probe = " ".join(a + b * k for a in string.ascii_lowercase for b in string.ascii_lowercase for k in (0, 1, 4))
+        if self.lean.encode(probe, add_special_tokens=False).ids != self._ids(probe):
+            self.lean = self.tok
+        vocabulary = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self._forget()
 
     def _ids(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
+    def _forget(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.ids = np.zeros(0, "<u4")
+        self.lengths = np.zeros(0, np.int64)
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids end to end, and how many each word has.
+
+        A word of letters alone is one piece for the tokenizer, and a piece's
+        last token is marked as such; so words of letters go to the library
+        many at a time and are told apart by the marks.  Should the marks not
+        tally, and for all other words, each is encoded by itself.
+        """
+        groups = [words[lo:lo + 50] for lo in range(0, len(words), 50)]
+        lean = [all(map(_PLAIN.fullmatch, g)) for g in groups]
+        coded = {}
+        for tok, kind in ((self.lean, True), (self.tok, False)):
+            mine = [i for i, x in enumerate(lean) if x == kind]
+            coded.update(zip(mine, tok.encode_batch_fast([" ".join(groups[i]) for i in mine], add_special_tokens=False),
+                             strict=True))
+        ids, lengths = [], []
+        for g, e in ((g, coded[i]) for i, g in enumerate(groups)):
+            x = np.array(e.ids, "<u4")
+            last = np.flatnonzero(self.ends[x])
+            if len(last) == len(g) and last[-1] == len(x) - 1 and all(map(str.isalpha, g)):
+                n = np.diff(last, prepend=-1)
+            else:
+                each = [e.ids for e in self.tok.encode_batch_fast(g, add_special_tokens=False)]
+                n = np.fromiter(map(len, each), np.int64, len(each))
+                x = np.fromiter(itertools.chain.from_iterable(each), "<u4", int(n.sum()))
+            ids.append(x)
+            lengths.append(n)
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _learn(self, new: list[bytes]) -> None:
+        text = [w.decode() for w in new]
+        order = sorted(range(len(new)), key=lambda i: (not text[i].isalpha(), not text[i].isascii(), not text[i].islower()))
+        ids, lengths = self._encode_words([text[i] for i in order])
+        self.place.update(zip([new[i] for i in order], range(len(self.place), len(self.place) + len(new)), strict=True))
+        self.ids, self.lengths = np.concatenate([self.ids, ids]), np.concatenate([self.lengths, lengths])
+
+    def _words(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the words in a buffer that ends in white space;
+        stops and commas at a word's end, behind an ASCII letter, are a word
+        of their own."""
+        edge = np.diff(SPACED[a].view(np.int8), prepend=np.int8(0))
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if not self.parts:
+            return start, end
+        w = np.flatnonzero(_STOP[a[end - 1]])
+        cut = end[w] - 1
+        more = np.arange(len(w))
+        while len(more):
+            more = more[(cut[more] > start[w[more]]) & _STOP[a[cut[more] - 1]]]
+            cut[more] -= 1
+        ok = (cut > start[w]) & _LETTER[a[cut - 1]]
+        w, cut = w[ok], cut[ok]
+        return np.insert(start, w + 1, cut), np.insert(end, w, cut)
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit numbers."""
-        cut = [(t.lower() if self.lowers else t).split() for t in texts]
-        if len(self.memory) > MEMORY:
-            self.memory.clear()
-        new = list({w for ws in cut for w in ws if w not in self.memory})
-        for lo in range(0, len(new), 10_000):
-            part = new[lo:lo + 10_000]
-            coded = self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for w, e in zip(part, coded, strict=True):
-                self.memory[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return [b"".join(map(self.memory.__getitem__, ws)) for ws in cut]
+        import pyarrow as pa
+
+        buf = b"\n".join(texts) + b"\n"
+        a = np.frombuffer(buf.lower() if self.lowers else buf, np.uint8)
+        start, end = self._words(a)
+        offsets = np.concatenate([[0], np.cumsum(end - start)])
+        words = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(a[SPACED[a]])])
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.place) > MEMORY:
+            self._forget()
+        new = [w for w in distinct if w not in self.place]
+        if new:
+            self._learn(new)
+        place = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+        # ids of this block's distinct words, then of all its words, as Arrow lists
+        table = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(self.lengths)]), pa.array(self.ids))
+        every = table.take(pa.array(place)).take(coded.indices)
+        ids, ends = every.flatten().to_numpy(), every.offsets.to_numpy()
+        base = np.cumsum([0] + [len(t) + 1 for t in texts])
+        cuts = ends[np.searchsorted(start, base)]
+        return [ids[cuts[i]:cuts[i + 1]].tobytes() for i in range(len(texts))]
 
 
 _open: dict[str, WordEncoder] = {}
@@ -117,8 +210,9 @@ def train_dictionary(rows: DataFrame, tokenizer: str, end_id: int | None, width:
     """The shared dictionary: raw bytes, empty if there is too little text."""
     import zstandard
 
-    sample = (rows.select("doc_id", F.col("text"), F.xxhash64("doc_id", F.length("text")).alias("h"))
-              .orderBy("h", "doc_id").limit(SAMPLE_DOCS).select("doc_id", "text"))
+    # the sample is chosen by doc_id alone; SAMPLE_DOCS ids at most are broadcast
+    chosen = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    sample = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text")
 
     def work(batches):
         import pyarrow as pa
@@ -130,7 +224,7 @@ def train_dictionary(rows: DataFrame, tokenizer: str, end_id: int | None, width:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
 
     samples, size = [], 0
-    for r in sample.mapInArrow(work, "ids binary").toLocalIterator():
+    for r in sample.mapInArrow(work, "ids binary").limit(SAMPLE_DOCS).collect():
         if size + len(r.ids) > SAMPLE_BYTES:
             break
         samples.append(bytes(r.ids))
