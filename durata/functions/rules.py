@@ -122,14 +122,16 @@ def first_token(c, sep: str = "|") -> Column:
 # dates (F1-F3, F30, F32-F34, P7)
 # ---------------------------------------------------------------------------
 
-DATE_FORMATS = ("MMMM d, yyyy", "MMMM yyyy", "MMM d, yyyy", "MMM yyyy")
+DATE_FORMATS = ("MMMM d, yyyy", "MMMM yyyy", "MMM d, yyyy", "MMM yyyy", "d MMMM yyyy", "d MMM yyyy", "MMM. yyyy",
+                "MMM. d, yyyy", "M/d/yyyy", "yyyy/M/d", "yyyyMMdd")
 
 
 def parse_date_any(c, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """Lenient date: ISO with missing month/day -> 01, then English month forms.
 
     ``try_cast`` accepts yyyy, yyyy-MM, yyyy-MM-dd and a trailing time part;
-    the ordered format list covers "March 2015" and "March 3, 2015".  Failure
+    the ordered format list covers "March 2015", "March 3, 2015", "15 March
+    2015", "03/15/2015" (month first), "2015/03/15" and "20150315".  Failure
     gives null.
     """
     s = py_strip(_c(c).cast("string"))

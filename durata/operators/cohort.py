@@ -96,12 +96,15 @@ def fill_constants(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
 
 
 def coerce_flags(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """columns with at most two distinct values map 0/1 -> No/Yes.  One
-    aggregate (count_distinct per candidate) decides which columns qualify."""
+    """columns with at most two distinct values map 0/1 -> No/Yes.  A
+    column qualifies if no value lies strictly between its least and greatest
+    (two plain aggregates, no distinct)."""
     if not cols:
         return df
-    counts = df.agg(*[F.count_distinct(c).alias(c) for c in cols]).first()
+    ends = df.agg(*[F.min(c).alias(f"lo_{c}") for c in cols], *[F.max(c).alias(f"hi_{c}") for c in cols]).first()
+    inner = df.agg(*[F.count_if((F.col(c) > F.lit(ends[f"lo_{c}"])) & (F.col(c) < F.lit(ends[f"hi_{c}"]))).alias(c)
+                     for c in cols]).first()
     for c in cols:
-        if counts[c] <= 2:
+        if not inner[c]:
             df = df.withColumn(c, yes_no(c))
     return df

@@ -60,6 +60,17 @@ def pretty_labels(df: DataFrame, col: str, labels: DataFrame, out: str = "label"
     return j.withColumn(out, F.coalesce("__v", tidy_label(col))).drop("__k", "__v")
 
 
+def label_tail(c) -> Column:
+    """What follows the first `` | `` of a label; the label itself without one."""
+    s = _c(c)
+    return F.when(F.contains(s, F.lit(" | ")), F.substring(s, F.instr(s, " | ") + 3, 1 << 30)).otherwise(s)
+
+
+def relabel_baseline(c, flag, label: str) -> Column:
+    """``label`` on baseline rows, the tail of the label elsewhere."""
+    return F.when(_c(flag) == 1, F.lit(label)).otherwise(label_tail(c))
+
+
 def _near(vals: DataFrame, canon: DataFrame, threshold: float) -> DataFrame:
     """(value, nv, canonical, nc) of all pairs that share a piece of the
     canonical name at nearly the same place; it holds every pair whose

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import DAYS_PER_YEAR, day_diff, parse_date_any
@@ -113,6 +113,25 @@ def profile(df: DataFrame) -> DataFrame:
                                            (F.col("__rows") - F.col("non_null")).cast("long").alias("nulls"))
 
 
+def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """A10, describe part: per numeric column count, mean, std, min, quartiles
+    and max, one row each."""
+    kinds = dict(df.dtypes)
+    cols = [c for c in (cols or df.columns)
+            if kinds[c] in ("int", "bigint", "smallint", "tinyint", "float", "double") or kinds[c].startswith("decimal")]
+    q = exact_quantiles(df, cols, (0.25, 0.5, 0.75)) if cols else {}
+    aggs = []
+    for c in cols:
+        x = F.col(c).cast("double")
+        aggs += [F.struct(F.lit(c).alias("column_name"), F.count(x).alias("count"), F.avg(x).alias("mean"),
+                          F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
+                          *[F.lit((q[c] or [None] * 3)[i]).cast("double").alias(n) for i, n in enumerate(("p25", "p50", "p75"))],
+                          F.max(x).alias("max")).alias(f"__{c}")]
+    if not aggs:
+        raise ValueError("no numeric column")
+    return df.agg(*aggs).select(F.inline(F.array(*[F.col(f"`__{c}`") for c in cols])))
+
+
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """A11."""
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), col)
@@ -148,14 +167,17 @@ def concat_blocks(blocks: Sequence[tuple[str, DataFrame]], label_col: str = "blo
 
 
 def sort_summary(summary: DataFrame, metric: str = "mae_mean", baseline_flag: str | None = None,
-                 group: str | None = None) -> DataFrame:
-    """Baseline rows first (per group), then the metric descending."""
+                 group: str | None = None, position: str | None = None) -> DataFrame:
+    """Baseline rows first (per group), then the metric descending;
+    ``position`` names a column for the place (summaries are small)."""
     order = []
     if group:
         order.append(F.col(group))
     if baseline_flag:
         order.append(F.col(baseline_flag).desc())
     order.append(F.col(metric).desc())
+    if position:
+        summary = summary.withColumn(position, F.row_number().over(Window.orderBy(*order)).cast("long"))
     return summary.orderBy(*order)
 
 

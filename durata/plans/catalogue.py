@@ -819,7 +819,7 @@ FROM blocks
 def q24(spark, sf):
     lst = T(spark, sf, "labels").select(F.col("doc_id").alias("id"), ((F.col("doc_id") * 37) % 1009).alias("pos"))
     docs = T(spark, sf, "documents").select("doc_id", F.col("n_chars").cast("double").alias("truth"))
-    runs = (split.ordered_by_list(docs, "doc_id", lst)
+    runs = (split.ordered_by_list(docs, "doc_id", lst, sort=False)
             .withColumn("seed", F.explode(F.array(*[F.lit(s) for s in SEEDS])))
             .withColumn("pred", F.col("truth") * (1 + (F.col("seed") - 44) / 100.0)))
     truth = split.first_by_position(runs, "doc_id", "truth", "seed")
@@ -1023,11 +1023,12 @@ FROM events
 """)
 def q29_report(spark, sf):
     e = T(spark, sf, "events")
-    return e.agg(F.count(F.lit(1)).alias("n_rows"), F.count("value").alias("value_non_null"),
-                 F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("ts_min"),
-                 F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("ts_max"),
-                 F.size(F.collect_set("event_type")).cast("long").alias("n_event_types"),
-                 r4(F.min("value")).alias("value_min"), r4(F.max("value")).alias("value_max"))
+    r = reports.build_report(e, "value", "event_type", scores=("ts",))
+    return r.select(F.col("rows").alias("n_rows"), F.col("durations_non_null").alias("value_non_null"),
+                    F.date_format("ts_min", "yyyy-MM-dd HH:mm:ss").alias("ts_min"),
+                    F.date_format("ts_max", "yyyy-MM-dd HH:mm:ss").alias("ts_max"),
+                    F.col("event_type_distinct").alias("n_event_types"),
+                    r4("duration_min").alias("value_min"), r4("duration_max").alias("value_max"))
 
 
 # ---------------------------------------------------------------------------

@@ -46,12 +46,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and staged tables.
 
     On a cluster ``spark.checkpoint.dir`` names a shared file system folder;
-    it is used as is.  Only when it is unset (tests, local runs) a scratch
-    folder is created and registered.
+    it is used as is.  Only a local session without one (tests, local runs)
+    gets a scratch folder; on a cluster a missing setting is an error, since
+    executors do not share their temporary folders.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
+    master = spark.sparkContext.master
+    if not d and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="durata-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
@@ -67,6 +71,15 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{base}/staging/{name}"
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it
+    (local sessions and clusters on a shared file system)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)

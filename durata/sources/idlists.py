@@ -6,22 +6,25 @@ Each parser takes a DataFrame of text lines (column ``value``, as
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import NCT_FULL, py_strip
 
 
 def read_lines(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
-    """Text file(s) -> ``value`` (+ ``pos`` = (file, line) order when ordered).
+    """Text file(s) -> ``value`` (+ ``pos`` when ordered).
 
-    The position is ``monotonically_increasing_id`` over the file scan, which
-    increases with the line order inside each split and with split order.
+    ``pos`` follows the file names, then the lines of each file: ordered lists
+    are small files, so each is read whole and split, and the files (not their
+    lines) are ranked.
     """
-    df = spark.read.text(path)
-    if ordered:
-        df = df.withColumn("pos", F.monotonically_increasing_id())
-    return df
+    if not ordered:
+        return spark.read.text(path)
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    ranked = files.withColumn("rank", F.row_number().over(Window.orderBy("file")))
+    lines = ranked.select("rank", F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    return lines.select("value", (F.col("rank") * F.lit(1 << 40) + F.col("line")).alias("pos"))
 
 
 def ids_one_per_line(lines: DataFrame) -> DataFrame:
