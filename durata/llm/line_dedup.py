@@ -75,9 +75,10 @@ def removals(keyed: DataFrame) -> DataFrame:
     to) pairs."""
     chunks = with_chunks(keyed.select("__id", "__mark", "__text")).select(
         "__id", "__mark", F.explode(_several()).alias("c")).select("__id", "__mark", "c.*")
-    again = written(chunks.join(repeated_chunks(keyed), "hash"), "op4-repeats")
+    # both small sides are written, so that a join reads plain shuffles and Spark can split a hot chunk's rows
+    again = written(chunks.join(written(repeated_chunks(keyed), "op4-hashes"), "hash"), "op4-repeats")
     place = F.struct("__id", "__mark", "from")
-    first = again.groupBy("hash").agg(F.min(place).alias("first"))
+    first = written(again.groupBy("hash").agg(F.min(place).alias("first")), "op4-first")
     return (again.join(first, "hash").filter(place != F.col("first"))
             .groupBy("__id", "__mark").agg(F.collect_set(F.struct("from", "to")).alias("__gone")))
 
