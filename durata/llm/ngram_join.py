@@ -35,6 +35,8 @@ BITS = 56
 BLOCK_BYTES = 8 << 20
 #: Shingles of a chunk, and of the chunk pairs and small clusters dealt to one task.
 CHUNK = 2_000_000
+#: A cluster's classes are spread over so many keys where they meet its size.
+SALTS = 64
 _U = np.uint64
 
 
@@ -366,8 +368,11 @@ def class_links(sets: DataFrame) -> DataFrame:
     pairs = F.transform(F.sequence(F.lit(0), k - 1), lambda o: F.struct(
         F.least(F.col("c"), o).alias("i"), F.greatest(F.col("c"), o).alias("j"),
         (F.col("c") > o).cast("int").alias("side")))
-    dealt = (cluster.select(F.col("node").alias("cls"), F.col("root").alias("cluster"))
-             .join(sizes.select(F.col("root").alias("cluster"), "chunks"), "cluster")
+    salted = sizes.select(F.col("root").alias("cluster"), "chunks",
+                          F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = (cluster.select(F.col("node").alias("cls"), F.col("root").alias("cluster"),
+                            F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt"))
+             .join(salted, ["cluster", "salt"])
              .withColumn("c", c).select("cls", "cluster", F.explode(pairs).alias("p"))
              .select("cls", "cluster", "p.i", "p.j", "p.side")
              .withColumn("bin", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(bins))))
