@@ -85,3 +85,18 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame(sample(2), "doc_id long, text string")
     plan = line_dedup.dedup(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_planted_passages_go_whole(spark):
+    r = random.Random(7)
+    passages = [[" ".join(f"p{k}w{i}x{r.randint(0, 999)}" for _ in range(12)) for i in range(r.randint(2, 9))] for k in range(40)]
+    rows = []
+    for d in range(120):
+        own = [f"document {d} has line {i} of its own" for i in range(4)]
+        rows.append((d, "\n".join([*own[:1 + d % 3], *passages[d % 40], *own[1 + d % 3:]])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.text.split("\n") for x in line_dedup.dedup(df).collect()}
+    whole = sum(not set(passages[d % 40]) & set(got[d]) for d in range(40, 120))
+    assert whole == 80
+    assert all("\n".join(got[d]) == t for d, t in rows[:40])
+    assert all(f"document {d} has line {i} of its own" in got[d] for d in got for i in range(4))
