@@ -8,8 +8,9 @@ slots are checked: each filler of the template must stand for one filler of
 the document wherever it occurs.  Templates of which at least COVER of the
 windows match with consistent slots count as leaked.
 
-Items with the same canonical words are one template, so a benchmark of many
-re-parameterised questions does not multiply matches.  A bitmap of
+Items with the same canonical words and equal fillers in the same slots are one
+template, so a benchmark of many re-parameterised questions does not multiply
+matches; ``exact`` compares the fillers of each item.  A bitmap of
 2 ** BITMAP_BITS bits (1 MB whatever the benchmark's size) of the template
 windows keeps windows that cannot join from becoming rows.
 
@@ -82,6 +83,14 @@ class Canonical(Words):
         at = np.flatnonzero(ok)
         return at, g[at]
 
+    def print(self, i: int) -> str:
+        """Digest of a text's canonical words and of which slots hold equal
+        fillers."""
+        mine = slice(self.first[i], self.first[i + 1])
+        fillers = self.hash[mine][self.slot[mine] > 0]
+        _, at, same = np.unique(fillers, return_index=True, return_inverse=True)
+        return hash_bytes(np.concatenate([self.canon[mine], at[same].astype(np.uint64)]))
+
 
 _WINDOW = "array<struct<pos:int,size:int,hash:long,slots:array<long>>>"
 
@@ -111,8 +120,7 @@ def _scan(bitmap, sizes: list[int], whole: bool):
                         slots = np.where(w.slot[p:p + k] > 0, w.hash[p:p + k], _U(0)).astype(np.int64)
                         rows[w.doc[p]].append({"pos": p - int(w.first[w.doc[p]]), "size": k, "hash": x,
                                                "slots": slots.tolist()})
-                prints = [hash_bytes(w.canon[w.first[i]:w.first[i + 1]]) for i in range(hi - lo)] if whole else [
-                    None] * (hi - lo)
+                prints = [w.print(i) for i in range(hi - lo)] if whole else [None] * (hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo), pa.array(w.count.astype(np.int64)), pa.array(prints, pa.string()),
                      pa.array(rows, pa.list_(pa.struct([("pos", pa.int32()), ("size", pa.int32()), ("hash", pa.int64()),
@@ -129,7 +137,8 @@ def hash_bytes(a: np.ndarray) -> str:
 
 def templates(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(template, item_id, n_windows, pos, size, hash, slots), one row per
-    window; ``template`` is the print of the item's canonical words."""
+    window; ``template`` is the print of the item's canonical words and of the
+    pattern of its equal fillers."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
     sizes = list(range(LEAST, WINDOW + 1))
     scanned = rows.mapInArrow(_scan(None, sizes, True), f"key long, n_words long, print string, windows {_WINDOW}")
@@ -159,7 +168,8 @@ def _bitmap(windows: DataFrame) -> bytes:
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, coverage, first_word, exact): one row per document
-    and leaked item.  ``exact`` says that all slots hold the item's values."""
+    and leaked item.  ``exact`` says that every window is there and all slots
+    hold the item's own values."""
     spark = docs.sparkSession
     items = written(templates(benchmark, item_col, item_text_col), "op8-templates")
     one = items.groupBy("template").agg(F.min("item_id").alias("item_id"))
@@ -184,14 +194,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     pairs = hits.select(*group, F.explode(F.arrays_zip("slots", "fill")).alias("s")).filter("s.slots <> 0").select(
         *group, F.col("s.slots").alias("theirs"), F.col("s.fill").alias("mine"))
     slots = pairs.groupBy(*group, "theirs").agg(F.min("mine").alias("lo"), F.max("mine").alias("hi")).groupBy(*group).agg(
-        F.count("*").alias("slots"), F.count_if(F.col("lo") == F.col("hi")).alias("steady"),
-        F.count_if((F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("theirs"))).alias("same"))
+        F.count("*").alias("slots"), F.count_if(F.col("lo") == F.col("hi")).alias("steady"))
     judged = votes.join(slots, group, "left").filter(
         (F.col("votes") >= COVER * F.col("n_windows"))
         & (F.col("slots").isNull() | (F.col("steady") >= CONSISTENT * F.col("slots"))))
-    best = judged.groupBy("uid", "template").agg(F.max_by(
-        F.struct("doc_id", (F.col("votes") / F.col("n_windows")).alias("coverage"), "first_word",
-                 F.coalesce(F.col("same") == F.col("slots"), F.lit(True)).alias("exact")),
-        F.struct("votes", -F.col("diagonal"))).alias("b"))
-    members = items.select("template", "item_id").distinct()
-    return best.join(members, "template").select("b.doc_id", "item_id", "b.coverage", "b.first_word", "b.exact")
+    best = written(judged.groupBy("uid", "template").agg(F.max_by(
+        F.struct("doc_id", (F.col("votes") / F.col("n_windows")).alias("coverage"), "first_word", "diagonal"),
+        F.struct("votes", -F.col("diagonal"))).alias("b")), "op8-best")
+    # fillers in order of the item's windows: one digest for each item, and one for each document place
+    order = F.sort_array(F.collect_set(F.struct("pos", "size", "slots")))
+    print_ = lambda windows: F.md5(F.to_json(windows).cast("binary"))
+    members = items.groupBy("template", "item_id").agg(print_(order).alias("fillers"))
+    places = hits.join(best.select("uid", "template", F.col("b.diagonal").alias("diagonal")), group, "left_semi")
+    # the document's filler stands where the template has a slot
+    held = F.zip_with("slots", "fill", lambda x, y: F.when(x == 0, x).otherwise(y)).alias("slots")
+    held = places.select("uid", "template", "pos", "size", held).groupBy("uid", "template").agg(
+        print_(order).alias("held"))
+    return best.join(held, ["uid", "template"]).join(members, "template").select(
+        "b.doc_id", "item_id", "b.coverage", "b.first_word", (F.col("held") == F.col("fillers")).alias("exact"))

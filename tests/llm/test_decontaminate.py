@@ -65,3 +65,11 @@ def test_every_whole_item_is_found(spark):
                                                        spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
         assert want <= got
         assert len(got - want) <= 0.1 * len(want) + 1
+
+
+def test_items_of_one_form_are_judged_by_their_own_fillers(spark):
+    a = "what is the sum of 3 and 3 when both are doubled and then halved again twice"
+    b, c = a.replace("3 and 3", "3 and 5"), a.replace("3 and 3", "8 and 9")
+    got = leaks(spark, [a, b], [(1, a), (2, b), (3, c)])
+    assert {(1, 2), (1, 3), (0, 1)} <= set(got)
+    assert got[0, 1].exact and got[1, 2].exact and not got[1, 3].exact
