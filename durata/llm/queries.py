@@ -3,6 +3,7 @@ production parameters over whole tables, and their DuckDB equivalents."""
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
@@ -11,10 +12,13 @@ from pyspark.sql import functions as F
 
 from durata.llm import (
     bpe,
+    centroids,
     decontaminate,
     license_scan,
     line_dedup,
+    merkle,
     ngram_join,
+    packing,
     quality_mil,
     quality_rules,
     sharding,
@@ -114,6 +118,37 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.BASE_COLUMNS, "base_failed", "kept")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of all documents; a third of them is checked with its
+    text's capitals lowered, the rest as it is."""
+    docs = _table(spark, sf_dir, "documents")
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    given = merkle.leaf_digest(*[F.col(c) for c in fields])
+    claimed = F.when(_fold(3) == 0, merkle.leaf_digest(*[lowered if c == "text" else F.col(c) for c in fields])).otherwise(given)
+    found = merkle.manifest(docs.select("doc_id", "lang", given.alias("leaf"), claimed.alias("claimed")), "lang", "doc_id",
+                            keep=("claimed",))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"),
+                        merkle.fold(F.col("claimed"), F.col("path")).alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root"))
+
+
+SEQUENCE = 2048
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' pieces, packed into sequences of 2,048 tokens."""
+    pieces = packing.cut(_table(spark, sf_dir, "documents"), WORD_TOKENIZER, SEQUENCE, end_id=0)
+    plan = packing.plan(packing.histogram(pieces, SEQUENCE), SEQUENCE)
+    digested = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "part", "nth")
+    return packing.place(digested, plan)
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact clusters of all embeddings."""
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))[0]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_toxicity": op2_toxicity,
@@ -125,6 +160,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,
+    "op11_merkle": op11_merkle,
+    "op12_packing": op12_packing,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLE: dict[str, str] = dict(sql.ORACLE)

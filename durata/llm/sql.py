@@ -81,4 +81,74 @@ FROM (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) AS d LEFT JOIN n USING
 """
 
 
-ORACLE: dict[str, str] = {"op7_ngram_join": _ngram_join(), "op10_quality_rules": _quality_rules()}
+def _merkle(levels: int = 7, top: int = 3) -> str:
+    """Trees of up to 8 ** ``levels`` rows a group and 8 ** ``top`` groups."""
+    def field(c, value=None):
+        v = value or f"CAST({c} AS VARCHAR)"
+        return f"coalesce(CAST(strlen({v}) AS VARCHAR) || ':' || {v}, '-')"
+
+    def leaf(text):
+        return "sha256(" + " || ".join([*map(field, ("doc_id", "source", "lang", "n_chars")), field("text", text)]) + ")"
+
+    def tree(n, s, height):
+        """Nodes of every level and, of each node, the digests beside it."""
+        out = []
+        for k in range(height):
+            out.append(f"{n}{k + 1} AS MATERIALIZED (SELECT g, i // 8 AS i, CASE WHEN max(c) = 1 THEN max(d) "
+                       f"ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d FROM "
+                       f"(SELECT *, count(*) OVER (PARTITION BY g) AS c FROM {n}{k}) GROUP BY g, i // 8)")
+            out.append(f"{s}{k} AS MATERIALIZED (SELECT a.g, a.i, a.c > 1 AS up, "
+                       "coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (WHERE b.i < a.i), '') AS l, "
+                       "coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (WHERE b.i > a.i), '') AS r "
+                       f"FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM {n}{k}) a LEFT JOIN {n}{k} b "
+                       "ON a.g = b.g AND a.i // 8 = b.i // 8 AND a.i <> b.i GROUP BY a.g, a.i, a.c)")
+        return out
+
+    steps = [f"f{k + 1} AS MATERIALIZED (SELECT f.* REPLACE (f.i // 8 AS i, f.proof || s.l || s.r AS proof, "
+             f"CASE WHEN s.up THEN sha256(s.l || f.fold || s.r) ELSE f.fold END AS fold) "
+             f"FROM f{k} f JOIN s{k} s ON s.g = f.g AND s.i = f.i)" for k in range(levels)]
+    steps += [f"h{k + 1} AS MATERIALIZED (SELECT f.* REPLACE (f.i // 8 AS i, f.proof || s.l || s.r AS proof, "
+              f"CASE WHEN s.up THEN sha256(s.l || f.fold || s.r) ELSE f.fold END AS fold) "
+              f"FROM h{k} f JOIN u{k} s ON s.i = f.i)" for k in range(top)]
+    ctes = [
+        f"""d AS MATERIALIZED (SELECT doc_id, coalesce('1' || lang, '0') AS g, {leaf("text")} AS leaf,
+    CASE WHEN xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(
+        string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: list_reduce(
+        list_prepend(xor(a, b), range(8)), lambda v, k: xor(v >> 1, (v & 1) * 3988292384))), 4294967295) % 3 = 0
+    THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}
+    ELSE {leaf("text")} END AS claimed FROM documents)""",
+        "e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d)",
+        "n0 AS (SELECT g, i, leaf AS d FROM e)", *tree("n", "s", levels),
+        f"t0 AS MATERIALIZED (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, d, g AS lang FROM n{levels})",
+        *tree("t", "u", top),
+        "f0 AS (SELECT doc_id, leaf, g, i, '' AS proof, claimed AS fold FROM e)", *steps[:levels],
+        f"h0 AS (SELECT f.* REPLACE (t.i AS i), t.d AS subroot FROM f{levels} f JOIN t0 t ON t.lang = f.g)", *steps[levels:]]
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = d AS verified
+FROM h{top}, (SELECT d FROM t{top})"""
+
+
+def _centroids(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    parts = [
+        f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding,
+    lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = {dims}
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"xs AS MATERIALIZED (SELECT rid, unnest(range({dims})) AS j, unnest(v) AS x FROM kept)",
+        f"""c0 AS MATERIALIZED (SELECT c, unnest(range({dims})) AS j, unnest(v) AS y FROM (SELECT row_number() OVER (
+    ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS c, v FROM kept) WHERE c < {k})"""]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT rid, c, d FROM (SELECT rid, c, sum((x - y) * (x - y)) AS d
+    FROM xs JOIN c{r} USING (j) GROUP BY rid, c) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (SELECT c, j, coalesce(m.y, o.y) AS y FROM c{r} o LEFT JOIN (
+    SELECT c, j, (s - ((s % n) + n) % n) // n AS y FROM (SELECT c, j, sum(x) AS s, count(*) AS n
+    FROM a{r} JOIN xs USING (rid) GROUP BY c, j)) m USING (c, j))""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+    CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM a{rounds} JOIN kept USING (rid)
+JOIN (SELECT c, sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY j)) AS h FROM c{rounds} GROUP BY c) USING (c)"""
+
+
+ORACLE: dict[str, str] = {"op7_ngram_join": _ngram_join(), "op10_quality_rules": _quality_rules(),
+                          "op11_merkle": _merkle(), "op13_centroids": _centroids()}
