@@ -1,6 +1,7 @@
 """Command line for the file-based workflow (each step is one Spark job).
 
-    python -m durata.cli flatten    --pages DIR --mapping CSV --out PATH [--max-files N] [--latest-only]
+    python -m durata.cli flatten    --pages DIR --mapping CSV --out PATH [--max-files N] [--latest-only] [--infer]
+                               [--malformed fail|keep]
     python -m durata.cli fit-scores --features PATH --out DIR
     python -m durata.cli features   --flat PATH --out PATH --as-of DATE [--scores DIR]
     python -m durata.cli embed      --flat PATH --out PATH [--ids-txt FILE] [--dims 256]
@@ -26,7 +27,7 @@ from .operators.flatten import flatten
 from .plans import features as FE
 from .plans.jobs import CAT_COLS, NUM_COLS
 from .session import checkpoint_dir
-from .sources import idlists, registry
+from .sources import idlists, mapping, registry
 from .streaming.ingest import batch_date, latest_versions
 
 
@@ -42,17 +43,19 @@ def _ids(spark, path: str) -> DataFrame:
 
 
 def cmd_flatten(spark, a):
-    # one distributed pass over all pages finds every field, so a field that
-    # only the last page holds is not lost; a page that is no JSON stops the job
-    study = registry.infer_study(spark, a.pages, max_files=a.max_files)
-    df = registry.scan_pages(spark, a.pages, study, multi_line=True, max_files=a.max_files,
-                             partitions=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """Pages -> flat rows, each page read once with the schema the sheet
+    declares; ``OUT_pages`` counts every file's studies and those with a value
+    of another type (their texts are in the column ``unparsed``)."""
+    sheet = mapping.read_sheet(spark, a.mapping, FE.FLAT_TYPES)
+    study = registry.infer_study(spark, a.pages, max_files=a.max_files) if a.infer else mapping.declared_study(sheet)
+    df = registry.scan_pages(spark, a.pages, study, multi_line=True, max_files=a.max_files, malformed=a.malformed)
     df = df.withColumn("batch_date", batch_date("source_file"))
-    mapping = registry.read_mapping(spark, a.mapping)
-    flat = flatten(df, mapping, keep=("source_file", "batch_date"))
+    paths = {e.variable: e.path for e in sheet}
+    flat = flatten(df, paths, keep=("source_file", "batch_date", "unparsed"))
     if a.latest_only:
-        flat = latest_versions(flat, "nct_id" if "nct_id" in flat.columns else list(mapping)[0])
-    registry.write_parquet(flat, a.out)
+        flat = latest_versions(flat, "nct_id" if "nct_id" in flat.columns else list(paths)[0])
+    registry.write_parquet(flat.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), a.out)
+    registry.write_csv(registry.page_counts(spark.read.parquet(a.out)), a.out.rstrip("/") + "_pages")
 
 
 def cmd_fit_scores(spark, a):
@@ -181,6 +184,7 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("--pages", required=True), s.add_argument("--mapping", required=True)
     s.add_argument("--out", required=True), s.add_argument("--max-files", type=int)
     s.add_argument("--latest-only", action="store_true")
+    s.add_argument("--infer", action="store_true"), s.add_argument("--malformed", default="fail", choices=["fail", "keep"])
     s = sub.add_parser("fit-scores")
     s.add_argument("--features", required=True), s.add_argument("--out", required=True)
     s = sub.add_parser("features")

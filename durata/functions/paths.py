@@ -27,15 +27,17 @@ def _null(dtype: T.DataType | None = None) -> tuple[Column, T.DataType]:
     return F.lit(None).cast(dtype or T.StringType()), (dtype or T.StringType())
 
 
+def path_steps(path: str) -> list[tuple[str, int | None]]:
+    """(name, index) of every step of a dotted path; a path that is none: []."""
+    found = [_TOKEN.match(tok) for tok in path.strip().split(".")]
+    return [(m.group(1), None if m.group(2) is None else int(m.group(2))) for m in found] if all(found) else []
+
+
 def compile_path(schema: T.StructType, path: str) -> tuple[Column, T.DataType]:
     """Return (Column, dtype) for a dotted path; unresolvable -> null literal."""
     col: Column | None = None
     dtype: T.DataType = schema
-    for tok in path.strip().split("."):
-        m = _TOKEN.match(tok)
-        if not m:
-            return _null()
-        key, idx = m.group(1), m.group(2)
+    for key, i in path_steps(path):
         if not isinstance(dtype, T.StructType):
             return _null()
         fields = {f.name: f for f in dtype.fields}
@@ -43,13 +45,12 @@ def compile_path(schema: T.StructType, path: str) -> tuple[Column, T.DataType]:
             return _null()
         col = F.col(f"`{key}`") if col is None else col.getField(key)
         dtype = fields[key].dataType
-        if idx is not None:
+        if i is not None:
             if not isinstance(dtype, T.ArrayType):
                 return _null()
-            i = int(idx)
             col = F.get(col, i) if i >= 0 else F.try_element_at(col, F.lit(i))
             dtype = dtype.elementType
-    return col, dtype
+    return (col, dtype) if col is not None else _null()
 
 
 def value_from_paths(schema: T.StructType, spec: str) -> Column:

@@ -12,6 +12,7 @@ from ..operators import cohort, embed, harmonise, model, reports
 from ..operators.flatten import flatten
 from ..session import staging_path
 from ..sources import registry
+from ..sources.mapping import Entry, declared_study
 from .catalogue import T, query, r4
 
 
@@ -20,41 +21,56 @@ def _fresh(spark, name):
 
 
 @query("q37_page_scan", """
-SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS status, round(CAST(o_totalprice AS DOUBLE), 4) AS total,
+SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS status,
+       CASE WHEN o_orderkey % 100 <> 3 THEN round(CAST(o_totalprice AS DOUBLE), 4) END AS total,
        o_orderpriority AS first_tag, CASE WHEN o_orderkey % 1000 = 7 THEN 'late' END AS rare,
-       CAST(NULL AS VARCHAR) AS missing
+       CAST(NULL AS VARCHAR) AS missing, CAST(o_orderkey % 100 = 3 AS BIGINT) AS misfits
 FROM orders
 """)
 def q37(spark, sf):
-    """Orders as JSON pages, schema found over all pages, scanned and
-    flattened; one field stands in one page of a thousand."""
+    """Orders as gzip pages of many lines, read once with the
+    schema that the sheet declares; one field stands in one study of a
+    thousand, one study of a hundred has a total that is no number."""
     o = T(spark, sf, "orders")
-    study = F.struct(F.col("o_orderkey").cast("string").alias("id"),
-                     F.struct(F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total")).alias("info"),
-                     F.array(F.struct(F.col("o_orderpriority").alias("name"))).alias("tags"),
-                     F.when(F.col("o_orderkey") % 1000 == 7, F.struct(F.lit("late").alias("x"))).alias("rare"))
+    study = F.to_json(F.struct(
+        F.col("o_orderkey").cast("string").alias("id"),
+        F.struct(F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("double").alias("total")).alias("info"),
+        F.array(F.struct(F.col("o_orderpriority").alias("name"))).alias("tags"), F.lit("not in the sheet").alias("more"),
+        F.when(F.col("o_orderkey") % 1000 == 7, F.struct(F.lit("late").alias("x"))).alias("rare")))
+    study = F.when(F.col("o_orderkey") % 100 == 3, F.regexp_replace(study, '"total":[^,}]*', '"total":"unknown"')).otherwise(study)
     path = _fresh(spark, "q37")
-    o.select(F.array(study).alias("studies")).write.json(path)
-    found = registry.infer_study(spark, path, multi_line=False)
-    s = registry.scan_pages(spark, path, found, multi_line=False)
-    f = flatten(s, {"id": "id", "status": "info.status", "total": "info.total", "first_tag": "tags[0].name",
-                    "rare": "rare.x", "missing": "info.nothing"})
-    return f.withColumn("total", r4("total"))
+    pages = o.groupBy(F.expr("o_orderkey div 1000")).agg(F.array_join(F.collect_list(study), ",\n").alias("s"))
+    pages.select(F.concat(F.lit('{\n"studies": [\n'), "s", F.lit('\n],\n"nextPageToken": "t"\n}\n'))).write.option(
+        "maxRecordsPerFile", 1).option("compression", "gzip").text(f"{path}/text")
+    sheet = [Entry("id", "id"), Entry("status", "info.status"), Entry("total", "info.total", "double"),
+             Entry("first_tag", "tags[0].name"), Entry("rare", "rare.x"), Entry("missing", "info.nothing")]
+    reader = registry.page_texts(spark.read.option("multiLine", True), "source_file", "fail",
+                                 lambda r: r.option("pathGlobFilter", "*.gz").json(f"{path}/text"))
+    s = registry.parse_pages(reader, declared_study(sheet), "source_file", "unparsed")
+    f = flatten(s, {e.variable: e.path for e in sheet}, keep=("unparsed",))
+    return f.withColumn("total", r4("total")).withColumn("misfits", F.col("unparsed").isNotNull().cast("long")).drop("unparsed")
 
 
 @query("q38_sinks", """
 SELECT kind, c_mktsegment AS segment, count(*) AS n, round(sum(round(CAST(c_acctbal AS DOUBLE), 2)), 2) AS balance
-FROM customer, (SELECT unnest(['csv', 'json', 'parquet', 'sheet']) AS kind) GROUP BY kind, c_mktsegment
+FROM customer, (SELECT unnest(['csv', 'json', 'parquet', 'sheet', 'led']) AS kind) GROUP BY kind, c_mktsegment
 """)
 def q38(spark, sf):
-    """Every sink written and read back."""
+    """Every sink written and read back; one sheet has three lead
+    lines above its header in every file."""
     c = T(spark, sf, "customer").select("c_custkey", "c_mktsegment", F.round(F.col("c_acctbal").cast("double"), 2).alias("c_acctbal"))
     base = _fresh(spark, "q38")
     registry.write_parquet(c, f"{base}/parquet", partition_by=["c_mktsegment"])
     registry.write_csv(c, f"{base}/csv")
     registry.write_json(c, f"{base}/json", digits=2)
+    rows = c.select(F.concat_ws(",", "c_custkey", F.concat(F.lit('"'), "c_mktsegment", F.lit('"')), "c_acctbal").alias("line"),
+                    F.expr("c_custkey div 1000").alias("part"))
+    lead = F.lit("Planning sheet,,\n,,\nas of,2001-01-01,\nc_custkey,c_mktsegment, c_acctbal \n")
+    (rows.groupBy("part").agg(F.concat(lead, F.array_join(F.collect_list("line"), "\n")).alias("value")).select("value")
+     .write.option("maxRecordsPerFile", 1).text(f"{base}/led"))
     back = {"parquet": spark.read.parquet(f"{base}/parquet"), "csv": spark.read.option("header", True).csv(f"{base}/csv"),
-            "json": spark.read.schema(c.schema).json(f"{base}/json"), "sheet": registry.read_planning_sheet(spark, f"{base}/csv")}
+            "json": spark.read.schema(c.schema).json(f"{base}/json"), "sheet": registry.read_planning_sheet(spark, f"{base}/csv"),
+            "led": registry.read_planning_sheet(spark, f"{base}/led", required=["c_custkey", "c_acctbal"])}
     blocks = [(k, d.select(F.col("c_mktsegment").cast("string").alias("segment"), F.col("c_acctbal").cast("double").alias("b")))
               for k, d in back.items()]
     return reports.concat_blocks(blocks, "kind").groupBy("kind", "segment").agg(

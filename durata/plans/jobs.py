@@ -195,23 +195,24 @@ def w5(spark, sf):
 
 @job("w6_stream_ingest")
 def w6(spark, sf):
-    """Pages derived from the tables are written as two dated pulls, ingested
-    incrementally, and reduced to the latest version per study."""
+    """Pages derived from the tables are written as two dated pulls and merged
+    one after the other into a table of the newest version per study."""
     base = staging_path(spark, f"w6-{uuid.uuid4().hex}")
     studies = FE.derive_studies(spark, sf).persist()
-    schema = studies.schema
     key = F.col("protocolSection.identificationModule.nctId")
+
+    def rules(s):
+        return FE.flatten(s, FE.FLAT_MAPPING, keep=("source_file", "batch_date"))
+    table = ingest.Upserts(spark, f"{base}/studies", "nct_id")
     for date, cond in (("2001-01-01", F.substring(key, 4, 8).cast("long") % 2 == 0), ("2001-02-01", F.lit(True))):
         pages = (studies.where(cond).withColumn("__page", F.floor(F.substring(key, 4, 8).cast("long") / 1000))
                  .groupBy("__page").agg(F.collect_list(F.struct("protocolSection")).alias("studies"))
                  .select("studies", F.lit(None).cast("string").alias("nextPageToken")))
         pages.write.mode("overwrite").option("compression", "gzip").json(f"{base}/raw/{date}_batch")
-
-    def rules(s):
-        return FE.flatten(s, FE.FLAT_MAPPING, keep=("source_file", "batch_date"))
-    ingest.run_ingest(spark, f"{base}/raw", f"{base}/flat", f"{base}/ckpt", schema, rules, multi_line=False)
-    flat = spark.read.parquet(f"{base}/flat")
-    latest = ingest.latest_versions(flat, "nct_id")
+        # each pull is ingested when it is there; the checkpoint knows what came before
+        ingest.run_upserts(spark, f"{base}/raw", table, f"{base}/ckpt", FE.study_schema(), rules, multi_line=False)
+    studies.unpersist()
+    latest = table.read()
     return latest.select("nct_id", F.col("batch_date").cast("string").alias("batch_date"), "patients",
                          "overall_status", "start_date_raw", "span_days")
 

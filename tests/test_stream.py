@@ -1,10 +1,14 @@
 """Streaming ingest equals a batch read of the same page files."""
 
+import datetime as dt
+import gzip
+import json
 import os
 
 from pyspark.sql import functions as F
 
 from durata.plans import features as FE
+from durata.sources.mapping import declared_study, entries
 from durata.sources.registry import scan_pages
 from durata.streaming import ingest
 from tests.conftest import SF_SMALL
@@ -35,6 +39,49 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "flat")).count() == len(a)
 
 
+def test_upserts_keep_the_newest_and_replays_change_nothing(spark, tmp_path):
+    sheet = entries({"id": "id", "n": "n"}, {"n": "long"})
+    raw, table = str(tmp_path / "raw"), ingest.Upserts(spark, str(tmp_path / "t"), "id", buckets=4)
+
+    def rules(s):
+        return FE.flatten(s, {"id": "id", "n": "n"}, keep=("source_file", "batch_date"))
+
+    def pages(**kw):
+        ingest.run_upserts(spark, raw, table, str(tmp_path / "ckpt"), declared_study(sheet), rules, multi_line=False, **kw)
+
+    def state():
+        return {r.id: r.n for r in table.read().collect()}
+    _write_gz(raw, "2001-02-01_a.json.gz", [{"id": "a", "n": 1}, {"id": "b", "n": 2}, {"id": None, "n": 9}])
+    pages()
+    assert state() == {"a": 1, "b": 2, None: 9}
+    # an older pull that comes late loses, new ids and newer pulls win, also within one batch
+    _write_gz(raw, "2001-01-01_a.json.gz", [{"id": "a", "n": 10}, {"id": "c", "n": 3}])
+    _write_gz(raw, "2001-03-01_a.json.gz", [{"id": "b", "n": 20}, {"id": "b", "n": 20}])
+    pages()
+    want = {"a": 1, "b": 20, "c": 3, None: 9}
+    assert state() == want
+    # a replay of the committed batch with other rows changes nothing
+    rows = spark.createDataFrame([("f", dt.date(2009, 1, 1), "a", 99)], "source_file string, batch_date date, id string, n long")
+    table.put(rows, max(table._batches()))
+    assert state() == want
+    # a batch that wrote rows but no marker is out of sight, and is written again
+    n = max(table._batches()) + 1
+    rows.withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(f"{table.folder}/rows/batch={n}")
+    assert state() == want
+    table.put(rows, n)
+    assert state() == {**want, "a": 99}
+    assert table.vacuum() > 0 and state() == {**want, "a": 99}
+    # nothing new
+    _write_gz(raw, "2001-04-01_a.json.gz", [])
+    assert len(state()) == 4
+
+
+def _write_gz(folder, name, rows):
+    os.makedirs(folder, exist_ok=True)
+    with gzip.open(os.path.join(folder, name), "wt") as f:
+        json.dump({"studies": rows}, f)
+
+
 def test_scan_pages_max_files(spark, tmp_path):
     studies = FE.derive_studies(spark, SF_SMALL)
     raw = str(tmp_path / "raw")
