@@ -4,6 +4,7 @@
                                [--malformed fail|keep]
     python -m durata.cli fit-scores --features PATH --out DIR
     python -m durata.cli features   --flat PATH --out PATH --as-of DATE [--scores DIR]
+    python -m durata.cli score-report --features PATH --out DIR [--bins N]
     python -m durata.cli embed      --flat PATH --out PATH [--ids-txt FILE] [--dims 256]
     python -m durata.cli merge-text --base PATH --vectors PATH --out PATH
     python -m durata.cli evaluate   --features PATH --train-ids FILE --test-ids FILE --out DIR [--overlap test]
@@ -76,7 +77,22 @@ def cmd_features(spark, a):
     models = _load_scores(spark, a.scores) if a.scores else None
     f = FE.build_features(flat, a.as_of, score_models=models,
                           start_floor=a.start_floor, keep_raw=a.keep_raw)
+    # the report's numbers are gathered while the features are written
+    f, seen = reports.observed_build(f)
     registry.write_parquet(f, a.out)
+    report = [(k, None if v is None else str(v)) for k, v in seen.get.items()]
+    registry.write_csv(spark.createDataFrame(report, "measure string, value string").coalesce(1),
+                       a.out.rstrip("/") + "_report")
+
+
+def cmd_score_report(spark, a):
+    """Distribution of the fitted scores: describe, histogram and box data."""
+    f = spark.read.parquet(a.features)
+    cols = [c for c in ("complexity_score_100", "attractiveness_score_100", "novelty_score") if c in f.columns]
+    out = a.out.rstrip("/")
+    for kind, make in (("describe", reports.describe), ("histogram", lambda d, c: reports.histogram(d, c, a.bins)),
+                       ("box", reports.box_stats)):
+        registry.write_csv(reports.concat_blocks([(c, make(f, c)) for c in cols], "score"), f"{out}/{kind}")
 
 
 def cmd_embed(spark, a):
@@ -103,7 +119,7 @@ def cmd_merge_text(spark, a):
 
 def _split(spark, a):
     f = spark.read.parquet(a.features)
-    s = split.assign_split(f, "nct_id", _ids(spark, a.train_ids), _ids(spark, a.test_ids), overlap=a.overlap)
+    s = split.assign_split(f, "nct_id", _ids(spark, a.train_ids), _ids(spark, a.test_ids), overlap=a.overlap or "test")
     return s.where("split = 'train'"), s.where("split = 'test'")
 
 
@@ -114,9 +130,9 @@ def _rf(a):
 def cmd_evaluate(spark, a):
     tr, te = _split(spark, a)
     num = NUM_COLS + [c for c in tr.columns if c.startswith("brief_han_")]
-    preds, per_seed, imps = model.evaluate(tr, te, num, CAT_COLS, "nct_id", "duration_days",
-                                           seeds=a.seeds, rf_params=_rf(a))
     out = a.out.rstrip("/")
+    preds, per_seed, imps = model.evaluate(tr, te, num, CAT_COLS, "nct_id", "duration_days",
+                                           seeds=a.seeds, rf_params=_rf(a), folder=f"{out}/fits")
     registry.write_csv(preds, f"{out}/predictions")
     registry.write_csv(per_seed, f"{out}/metrics_per_seed")
     mean = model.mean_baseline(tr, "duration_days")
@@ -126,6 +142,7 @@ def cmd_evaluate(spark, a):
                        f"{out}/summary")
     registry.write_csv(reports.per_entity_stats(preds, "nct_id", "abs_err", "truth", "pred"), f"{out}/per_trial")
     registry.write_csv(imps.orderBy(F.desc("importance")), f"{out}/importance")
+    registry.write_csv(model.top_importances(imps), f"{out}/importance_top")
 
 
 def _summary(m: DataFrame, by: list[str], order: list) -> DataFrame:
@@ -137,17 +154,17 @@ def cmd_ablate(spark, a):
     cols = [c for c in ablation.RAW + ablation.DERIVED + ablation.ENGINEERED if c in tr.columns]
     sets, baselines = ablation.global_sets(cols)
     num, cat = ablation.column_kinds(tr, cols)
-    m = ablation.run_sets(tr, te, num, cat, "nct_id", "duration_days", sets, seeds=a.seeds, rf_params=_rf(a),
-                          baseline_sets=baselines)
     out = a.out.rstrip("/")
+    m = ablation.run_sets(tr, te, num, cat, "nct_id", "duration_days", sets, seeds=a.seeds, rf_params=_rf(a),
+                          baseline_sets=baselines, folder=f"{out}/fits")
     registry.write_csv(m, f"{out}/metrics")
     registry.write_csv(_summary(m, ["feature_set"], [F.desc("is_baseline"), F.desc("mae_mean")]), f"{out}/summary")
 
 
 def cmd_ablate_by_study(spark, a):
     tr, te = (ablation.study_frame(x) for x in _split(spark, a))
-    m = ablation.run_studies(tr, te, "nct_id", "duration_days", seeds=a.seeds, rf_params=_rf(a))
     out = a.out.rstrip("/")
+    m = ablation.run_studies(tr, te, "nct_id", "duration_days", seeds=a.seeds, rf_params=_rf(a), folder=f"{out}/fits")
     registry.write_csv(m, f"{out}/metrics")
     registry.write_csv(_summary(m, ["study", "study_order", "feature_set"],
                                 ["study_order", F.desc("is_baseline"), F.desc("mae_mean")]), f"{out}/summary")
@@ -157,7 +174,7 @@ def cmd_engineered(spark, a):
     tr, te = _split(spark, a)
     num, cat = ablation.column_kinds(tr, [c for c in ablation.ENGINEERED if c in tr.columns])
     m = ablation.run_sets(tr, te, num, cat, "nct_id", "duration_days", ablation.engineered_sets(tr.columns),
-                          seeds=a.seeds, rf_params=_rf(a), baseline_sets=("ALL_ENGINEERED",))
+                          seeds=a.seeds, rf_params=_rf(a), baseline_sets=("ALL_ENGINEERED",), folder=f"{a.out.rstrip('/')}/fits")
     out = a.out.rstrip("/")
     registry.write_csv(m, f"{out}/metrics")
     registry.write_csv(_summary(m, ["feature_set"], [F.desc("is_baseline"), F.desc("mae_mean")]), f"{out}/summary")
@@ -165,14 +182,18 @@ def cmd_engineered(spark, a):
 
 def cmd_experts(spark, a):
     """Comparison on an ordered test list: overlap goes to training, results
-    stay in list order, requested but absent ids are reported."""
+    stay in list order, requested but absent ids are reported, and the runs'
+    errors are summed up (mean and spread of their MAE in years)."""
     f = spark.read.parquet(a.features)
     order = idlists.ids_ordered(idlists.read_lines(spark, a.test_ids, ordered=True))
-    s = split.assign_split(f, "nct_id", _ids(spark, a.train_ids), order.select("id"), overlap="train")
+    s = split.assign_split(f, "nct_id", _ids(spark, a.train_ids), order.select("id"), overlap=a.overlap or "train")
     tr, te = s.where("split = 'train'"), s.where("split = 'test'")
-    preds, _, _ = model.evaluate(tr, te, NUM_COLS, CAT_COLS, "nct_id", "duration_days", seeds=a.seeds, rf_params=_rf(a))
-    stats = reports.per_entity_stats(preds, "nct_id", "abs_err", "truth", "pred")
     out = a.out.rstrip("/")
+    preds, runs, _ = model.evaluate(tr, te, NUM_COLS, CAT_COLS, "nct_id", "duration_days", seeds=a.seeds, rf_params=_rf(a),
+                                    folder=f"{out}/fits")
+    stats = reports.per_entity_stats(preds, "nct_id", "abs_err", "truth", "pred")
+    registry.write_csv(runs, f"{out}/metrics_per_seed")
+    registry.write_csv(reports.seed_summary(runs.withColumn("model", F.lit("random_forest")), ["model"]), f"{out}/summary")
     registry.write_csv(split.ordered_by_list(stats, "nct_id", order), f"{out}/per_trial")
     registry.write_csv(split.absent_ids(order.select("id"), f, "nct_id"), f"{out}/absent")
 
@@ -191,6 +212,9 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("--flat", required=True), s.add_argument("--out", required=True)
     s.add_argument("--as-of", required=True), s.add_argument("--scores")
     s.add_argument("--start-floor", default="2000-01-01"), s.add_argument("--keep-raw", action="store_true")
+    s = sub.add_parser("score-report")
+    s.add_argument("--features", required=True), s.add_argument("--out", required=True)
+    s.add_argument("--bins", type=int, default=30)
     s = sub.add_parser("embed")
     s.add_argument("--flat", required=True), s.add_argument("--out", required=True)
     s.add_argument("--ids-txt"), s.add_argument("--dims", type=int, default=256)
@@ -202,12 +226,13 @@ def main(argv: list[str] | None = None) -> None:
         s = sub.add_parser(name)
         s.add_argument("--features", required=True), s.add_argument("--train-ids", required=True)
         s.add_argument("--test-ids", required=True), s.add_argument("--out", required=True)
-        s.add_argument("--overlap", default="test", choices=["test", "train"])
+        s.add_argument("--overlap", choices=["test", "train"])  # experts: train, else test
         s.add_argument("--seeds", type=int, nargs="+", default=list(model.SEEDS))
         s.add_argument("--trees", type=int), s.add_argument("--depth", type=int)
     a = p.parse_args(argv)
     spark = _spark()
-    {"flatten": cmd_flatten, "fit-scores": cmd_fit_scores, "features": cmd_features, "embed": cmd_embed,
+    {"flatten": cmd_flatten, "fit-scores": cmd_fit_scores, "features": cmd_features,
+     "score-report": cmd_score_report, "embed": cmd_embed,
      "merge-text": cmd_merge_text, "evaluate": cmd_evaluate, "ablate": cmd_ablate,
      "ablate-by-study": cmd_ablate_by_study, "engineered": cmd_engineered, "experts": cmd_experts}[a.cmd](spark, a)
 

@@ -8,9 +8,10 @@ none collects rows to the driver.  Percentiles of ``describe`` and
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import DAYS_PER_YEAR, day_diff, parse_date_any
@@ -181,17 +182,34 @@ def sort_summary(summary: DataFrame, metric: str = "mae_mean", baseline_flag: st
     return summary.orderBy(*order)
 
 
-def build_report(df: DataFrame, duration: str = "duration_days", category: str = "phase",
-                 scores: Sequence[str] = ("complexity_score_100", "attractiveness_score_100")) -> DataFrame:
-    """Rows, non-null durations, min/max duration, distinct categories,
-    score ranges -- one aggregate."""
+SCORES = ("complexity_score_100", "attractiveness_score_100")
+
+
+def _build_aggregates(df: DataFrame, duration: str, category: str, scores: Sequence[str], kinds) -> list:
     aggs = [F.count(F.lit(1)).alias("rows"), F.count(duration).alias("durations_non_null"),
             F.min(duration).alias("duration_min"), F.max(duration).alias("duration_max"),
-            F.count_distinct(category).alias(f"{category}_distinct")]
+            kinds(category).alias(f"{category}_distinct")]
     for s in scores:
         if s in df.columns:
             aggs += [F.min(s).alias(f"{s}_min"), F.max(s).alias(f"{s}_max")]
-    return df.agg(*aggs)
+    return aggs
+
+
+def build_report(df: DataFrame, duration: str = "duration_days", category: str = "phase",
+                 scores: Sequence[str] = SCORES) -> DataFrame:
+    """Rows, non-null durations, min/max duration, distinct categories,
+    score ranges -- one aggregate."""
+    return df.agg(*_build_aggregates(df, duration, category, scores, F.count_distinct))
+
+
+def observed_build(df: DataFrame, duration: str = "duration_days", category: str = "phase",
+                   scores: Sequence[str] = SCORES) -> tuple[DataFrame, Observation]:
+    """A12 without a pass of its own: ``df``, and the report's numbers, which
+    the first action on it (the write) leaves in the observation.  ``category``
+    must have few values, as the phase labels do: they are held as a set."""
+    seen = Observation(f"build-{uuid.uuid4().hex}")
+    aggs = _build_aggregates(df, duration, category, scores, lambda c: F.size(F.collect_set(c)).cast("long"))
+    return df.observe(seen, *aggs), seen
 
 
 def planned_vs_actual(df: DataFrame, planned_start: str, planned_end: str, actual_start: str, actual_end: str,

@@ -22,7 +22,7 @@ START_FLOOR = "1995-01-01"
 # reference's 300 trees / depth 20 configuration in ``model.RF_PARAMS``).
 JOB_RF = dict(numTrees=20, maxDepth=10)
 # The catalogue's ablation runs fit every set of the studies with one small
-# forest; ``ablation``'s defaults are the full forest and all five seeds.
+# forest and all five seeds; ``ablation``'s default is the full forest.
 ABLATION_RF = dict(numTrees=4, maxDepth=5)
 # Columns of the out-of-time evaluation (fixed values).
 NUM_COLS = ["primary_out_n", "secondary_out_n", "other_out_n", "num_arms", "masking_flag", "placebo_flag",
@@ -117,6 +117,44 @@ def w3_metrics(spark, sf):
     return summary.select("model", "n_seeds", "mae_mean", "mae_std", "rmse_mean", "r2_mean")
 
 
+def _suppliers(spark, sf):
+    """One row per supplier from all its lines; an even and an odd half."""
+    t = lambda n: spark.read.parquet(f"{sf.rstrip('/')}/{n}.parquet")
+    per = t("lineitem").groupBy("l_suppkey").agg(
+        F.count(F.lit(1)).cast("double").alias("n_lines"), F.count_distinct("l_partkey").cast("double").alias("n_parts"),
+        F.avg(F.col("l_discount").cast("double")).alias("discount"), F.avg(F.col("l_tax").cast("double")).alias("tax"),
+        F.avg((F.col("l_returnflag") == "R").cast("double")).alias("returned"),
+        F.sum(F.col("l_quantity").cast("double")).alias("quantity"))
+    s = t("supplier").join(per, F.col("s_suppkey") == F.col("l_suppkey")).join(
+        t("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    s = s.select("s_suppkey", F.col("s_acctbal").cast("double").alias("acctbal"), F.col("n_name").alias("nation"),
+                 "n_lines", "n_parts", "discount", "tax", "returned", "quantity")
+    return s.where("s_suppkey % 2 = 0"), s.where("s_suppkey % 2 = 1")
+
+
+SUPPLIER_NUM, SUPPLIER_CAT = ["acctbal", "n_lines", "n_parts", "discount", "tax", "returned"], ["nation"]
+
+
+@job("w8_full_forest")
+def w8(spark, sf):
+    """The full forest (300 trees, depth 20, leaf 10, all features,
+    half sample), five seeds, on every supplier: its quantity sold, and how
+    the forest compares with the mean."""
+    tr, te = _suppliers(spark, sf)
+    _, per_seed, _ = model.evaluate(tr, te, SUPPLIER_NUM, SUPPLIER_CAT, "s_suppkey", "quantity", days_per_year=1.0)
+    mean = model.mean_baseline(tr, "quantity")
+    mae = te.agg(F.avg(F.abs(F.col("quantity") - F.lit(mean)))).first()[0]
+    return per_seed.select("seed", "n", "mae", "rmse", "r2", F.lit(mae).alias("mean_mae"))
+
+
+@job("w8_full_importance")
+def w8_importance(spark, sf):
+    """The 20 most important features of the first seed's full forest."""
+    tr, te = _suppliers(spark, sf)
+    _, _, imps = model.evaluate(tr, te, SUPPLIER_NUM, SUPPLIER_CAT, "s_suppkey", "quantity", seeds=model.SEEDS[:1])
+    return model.top_importances(imps)
+
+
 @job("w7_expert_comparison")
 def w7(spark, sf):
     """Expert-style comparison: ordered test list, overlap -> train, forest
@@ -129,12 +167,11 @@ def w7(spark, sf):
     s = split.assign_split(f, "nct_id", tr_ids, te_list.select("id"), overlap="train")
     tr, te = s.where("split = 'train'"), s.where("split = 'test'")
     preds, _, _ = model.evaluate(tr, te, NUM_COLS, CAT_COLS, "nct_id", "duration_days", rf_params=JOB_RF)
-    yrs = preds.select("nct_id", (F.col("truth") / 365.25).alias("truth_y"), (F.col("pred") / 365.25).alias("pred_y"),
-                       (F.col("abs_err") / 365.25).alias("err_y"))
-    stats = yrs.groupBy("nct_id").agg(
-        F.count(F.lit(1)).alias("n_runs"), F.avg("truth_y").alias("truth_years"),
-        F.avg("pred_y").alias("pred_mean_years"), F.coalesce(F.stddev_samp("pred_y"), F.lit(0.0)).alias("pred_std_years"),
-        F.avg("err_y").alias("err_mean_years"), F.coalesce(F.stddev_samp("err_y"), F.lit(0.0)).alias("err_std_years"))
+    years = preds.select("nct_id", *[(F.col(c) / 365.25).alias(c) for c in ("truth", "pred", "abs_err")])
+    stats = reports.per_entity_stats(years, "nct_id", "abs_err", "truth", "pred").select(
+        "nct_id", "n_runs", F.col("truth_mean").alias("truth_years"), F.col("pred_mean").alias("pred_mean_years"),
+        F.col("pred_std").alias("pred_std_years"), F.col("err_mean").alias("err_mean_years"),
+        F.col("err_std").alias("err_std_years"))
     return split.ordered_by_list(stats, "nct_id", te_list)
 
 
@@ -164,7 +201,7 @@ def w4_inclusion(spark, sf):
     tr, te = _scored_split(spark, sf)
     num, cat = ablation.column_kinds(tr, ablation.ENGINEERED)
     return ablation.run_sets(tr, te, num, cat, "nct_id", "duration_days", ablation.engineered_sets(tr.columns),
-                             seeds=(42, 43), rf_params=ABLATION_RF, baseline_sets=("ALL_ENGINEERED",))
+                             rf_params=ABLATION_RF, baseline_sets=("ALL_ENGINEERED",))
 
 
 @job("w4_ablation")
@@ -174,7 +211,7 @@ def w4(spark, sf):
     cols = ablation.RAW + ablation.DERIVED + ablation.ENGINEERED
     sets, baselines = ablation.global_sets(cols)
     num, cat = ablation.column_kinds(tr, cols)
-    return ablation.run_sets(tr, te, num, cat, "nct_id", "duration_days", sets, seeds=(42,),
+    return ablation.run_sets(tr, te, num, cat, "nct_id", "duration_days", sets,
                              rf_params=ABLATION_RF, baseline_sets=baselines)
 
 
@@ -183,7 +220,7 @@ def w4_by_study(spark, sf):
     """Per study its baseline, then its leave-one-out sets."""
     tr, te = _oot_split(features_frame(spark, sf).persist())
     return ablation.run_studies(ablation.study_frame(tr), ablation.study_frame(te), "nct_id", "duration_days",
-                                seeds=(42,), rf_params=ABLATION_RF)
+                                rf_params=ABLATION_RF)
 
 
 @job("w5_embedding")

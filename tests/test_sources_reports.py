@@ -53,6 +53,10 @@ def test_reports(spark):
     r = reports.build_report(f).first()
     assert (r.rows, r.durations_non_null, r.duration_min, r.duration_max, r.phase_distinct) == (3, 2, 10, 40, 2)
     assert (r.complexity_score_100_min, r.complexity_score_100_max) == (5.0, 7.0)
+    # the same numbers from the write alone
+    watched, seen = reports.observed_build(f)
+    watched.write.format("noop").mode("overwrite").save()
+    assert seen.get == r.asDict()
 
 
 def test_vectors_and_summary(spark):
