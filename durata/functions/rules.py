@@ -122,22 +122,81 @@ def first_token(c, sep: str = "|") -> Column:
 # dates (F1-F3, F30, F32-F34, P7)
 # ---------------------------------------------------------------------------
 
-DATE_FORMATS = ("MMMM d, yyyy", "MMMM yyyy", "MMM d, yyyy", "MMM yyyy", "d MMMM yyyy", "d MMM yyyy", "MMM. yyyy",
-                "MMM. d, yyyy", "M/d/yyyy", "yyyy/M/d", "yyyyMMdd")
-
-
-def parse_date_any(c, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """Lenient date: ISO with missing month/day -> 01, then English month forms.
-
-    ``try_cast`` accepts yyyy, yyyy-MM, yyyy-MM-dd and a trailing time part;
-    the ordered format list covers "March 2015", "March 3, 2015", "15 March
-    2015", "03/15/2015" (month first), "2015/03/15" and "20150315".  Failure
-    gives null.
+# English month words, in order (fixed values); the first three letters tell
+# them apart, and a word may also stop after them.
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november",
+          "december")
+_MONTH_WORD = r"(?<![a-z])(" + "|".join(f"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in MONTHS) + r"|sept)(?![a-z])"
+_ISO = r"^\d{4}(-\d{1,2}(-\d{1,2}([T ].*)?)?)?$"
+_CLOCK = r"\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?"
+#: Where the year is missing, as the default date of the rule says (fixed value).
+DEFAULT_YEAR = 1900
+
+
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` worked out once."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def parse_date_any(c, pivot: int = 76) -> Column:
+    """Lenient date, by the shape of the text.
+
+    ISO dates (yyyy, yyyy-MM, yyyy-MM-dd, with or without a time) are cast.
+    Of anything else, whatever words surround it, the month word and the
+    numbers are read once and told apart by their length and order:
+
+    * with a month word: a number of four digits is the year, the first
+      shorter one the day ("March 3, 2015", "3rd of Mar 2015", "Mar-2015");
+      of two short ones the second is the year ("3 Mar 15"), a single one is
+      the day of ``DEFAULT_YEAR``, or the year if it is above 31;
+    * three numbers: year first if it has four digits, else month, day, year,
+      and day, month, year where the first is above 12;
+    * two numbers, one of four digits: year and month in either order (a
+      number above 12 is a day in January);
+    * one number: a year of four digits, or yyyyMMdd and what follows it.
+
+    A missing month or day is 1; two-digit years below ``pivot`` are of this
+    century.  Times of day are left out.  No date, or an impossible one, is
+    null.
     """
     s = py_strip(_c(c).cast("string"))
-    tries = [s.try_cast("date")]
-    tries += [F.try_to_date(s, f) for f in formats]
-    return F.coalesce(*tries)
+
+    def date(y, m, d):
+        return F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), m.cast("string"), d.cast("string")).try_cast("date")
+
+    def full_year(y):
+        n = y.cast("int")
+        return F.when(F.length(y) > 2, n).when(n < pivot, n + 2000).otherwise(n + 1900)
+
+    def worded(x):
+        n, m = x["n"], x["m"]
+        long = F.get(F.filter(n, lambda v: F.length(v) == 4), 0)
+        short = F.filter(n, lambda v: F.length(v) <= 2)
+        first, second = F.get(short, 0), F.get(short, 1)
+        return (F.when(long.isNotNull(), date(long, m, F.coalesce(first, F.lit("1"))))
+                .when(second.isNotNull() & (first.cast("int") > 31), date(full_year(first), m, second))
+                .when(second.isNotNull(), date(full_year(second), m, first))
+                .when(first.cast("int") > 31, date(full_year(first), m, F.lit(1)))
+                .otherwise(date(F.lit(DEFAULT_YEAR), m, F.coalesce(first, F.lit("1")))))
+
+    def numbers(x):
+        n = x["n"]
+        p, q, r = F.get(n, 0), F.get(n, 1), F.get(n, 2)
+        month_year = F.when(p.cast("int") > 12, date(q, F.lit(1), p)).otherwise(date(q, p, F.lit(1)))
+        two = F.when(F.length(p) == 4, date(p, q, F.lit(1))).when(F.length(q) == 4, month_year)
+        three = (F.when(F.length(p) == 4, date(p, q, r)).when(p.cast("int") > 12, date(full_year(r), q, p))
+                 .otherwise(date(full_year(r), p, q)))
+        digits = F.substring(p, 1, 4), F.substring(p, 5, 2), F.substring(p, 7, 2)
+        one = F.when(F.length(p) == 4, date(p, F.lit(1), F.lit(1))).when(F.length(p).isin(8, 12, 14), date(*digits))
+        return F.when(F.size(n) == 1, one).when(F.length(p) > 4, F.when(F.length(p) == 8, date(*digits))).when(
+            F.size(n) == 2, two).when(F.size(n) > 2, three)
+
+    low = F.regexp_replace(F.lower(s), _CLOCK, " ")
+    found = F.struct(F.array_position(F.array(*[F.lit(m[:3]) for m in MONTHS]),
+                                      F.substring(F.regexp_extract(low, _MONTH_WORD, 1), 1, 3)).alias("m"),
+                     F.filter(F.regexp_extract_all(low, F.lit(r"\d+"), F.lit(0)), lambda v: F.length(v) <= 14).alias("n"))
+    soup = _let(found, lambda x: F.when(x["m"] > 0, worded(x)).when(F.size(x["n"]) > 0, numbers(x)))
+    return F.when(s.rlike(_ISO), s.try_cast("date")).when(s.isNotNull(), soup)
 
 
 def iso_date_strict(c) -> Column:

@@ -24,7 +24,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import RankedValues, exact_quantiles
+from .ranks import RankedValues
 
 
 @dataclass
@@ -108,18 +108,15 @@ class QuantileUniform:
         self.n_quantiles = n_quantiles
 
     def fit(self, df: DataFrame) -> QuantileUniformModel:
-        halves = exact_quantiles(df, self.input_cols, [0.5])
-        medians = [m[0] if (m := halves[c]) else 0.0 for c in self.input_cols]
-        names = [f"v{j}" for j in range(len(self.input_cols))]
-        imputed = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(float(medians[j]))).alias(names[j])
-                              for j, c in enumerate(self.input_cols)])
-        ranked = RankedValues(imputed, names)
-        nq = max(1, min(self.n_quantiles, ranked.count[names[0]]))
+        ranked = RankedValues(df, self.input_cols, "double")
+        rows = df.count()
+        nq = max(1, min(self.n_quantiles, rows))
         refs = [i / (nq - 1) for i in range(nq)] if nq > 1 else [0.0]
-        row = ranked.quantiles(refs)
+        halves, row = ranked.filled_quantiles(refs, rows)
+        medians = [halves[c] or 0.0 for c in self.input_cols]
         knots = []
-        for j in range(len(self.input_cols)):
-            k = row[names[j]] or [0.0] * nq
+        for c in self.input_cols:
+            k = row[c]
             for i in range(1, len(k)):  # monotone, as the reference transformer enforces
                 k[i] = max(k[i], k[i - 1])
             knots.append(k)

@@ -68,6 +68,41 @@ class RankedValues:
         return {c: [between(c, x) for x in spots[c]] if c in spots else None for c in self.cols}
 
 
+    def filled_quantiles(self, probs: Sequence[float], rows: int) -> tuple[dict[str, float | None], dict[str, list[float]]]:
+        """Medians, and the quantiles of each column once its nulls (up to
+        ``rows`` values in all) are filled with its median.  The filled values
+        stand together in the middle, so both follow from one look-up; a
+        column without values has no median and is 0 throughout."""
+        middle = {c: (n + 1) // 2 for c, n in self.count.items()}
+        fill = {c: rows - n for c, n in self.count.items()}
+        spots = [p * (rows - 1) for p in probs]
+
+        def place(c, p):
+            """Position among the values of position ``p`` among all; None: a filled one."""
+            return p if p < middle[c] else None if p < middle[c] + fill[c] else p - fill[c]
+        some = [c for c, n in self.count.items() if n]
+        found = self.at({c: [q for q in (*((n - 1) // 2 for n in [self.count[c]]), self.count[c] // 2, *(
+            place(c, f(x)) for x in spots for f in (math.floor, math.ceil))) if q is not None] for c in some})
+        medians, filled = {}, {}
+        for c in self.cols:
+            if c not in some:
+                medians[c], filled[c] = None, [0.0] * len(probs)
+                continue
+            a, b = float(found[c][(self.count[c] - 1) // 2]), float(found[c][self.count[c] // 2])
+            medians[c] = a if a == b else 0.5 * a + 0.5 * b
+
+            def value(p, c=c):
+                q = place(c, p)
+                return medians[c] if q is None else float(found[c][q])
+
+            def between(x):
+                lo, hi = math.floor(x), math.ceil(x)
+                a, b = value(lo), value(hi)
+                return a if lo == hi or a == b else (hi - x) * a + (x - lo) * b
+            filled[c] = [between(x) for x in spots]
+        return medians, filled
+
+
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float] | None]:
     return RankedValues(df, cols, "double").quantiles(probs)
 

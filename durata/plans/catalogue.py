@@ -202,8 +202,9 @@ p AS (SELECT *, coalesce(TRY_CAST(raw AS DATE), CAST(try_strptime(raw, '%B %-d,
                CAST(try_strptime(raw, '%B %Y') AS DATE), CAST(try_strptime(raw, '%Y-%m') AS DATE),
                CAST(try_strptime(raw, '%Y') AS DATE)) AS d FROM s)
 SELECT o_orderkey, raw, CAST(d AS VARCHAR) AS parsed, CAST(year(d) AS BIGINT) AS start_year,
-       CAST(NULL AS VARCHAR) AS bad
-FROM p
+       CAST(CAST(CASE WHEN o_orderkey % 6 = 1 THEN date_trunc('year', o_orderdate) ELSE o_orderdate END AS DATE) AS VARCHAR)
+         AS soup, CAST(NULL AS VARCHAR) AS bad
+FROM p JOIN orders USING (o_orderkey)
 """)
 def q05(spark, sf):
     o = T(spark, sf, "orders")
@@ -213,10 +214,17 @@ def q05(spark, sf):
            .when(F.col("o_orderpriority") == "3-MEDIUM", F.date_format(d, "MMMM d, yyyy"))
            .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.date_format(d, "yyyy-MM"))
            .otherwise(F.date_format(d, "yyyy")))
-    p = o.select("o_orderkey", raw.alias("raw")).withColumn("d", R.parse_date_any("raw"))
+    key, f = F.col("o_orderkey") % 6, lambda pattern: F.date_format(d, pattern)
+    soup = (F.when(key == 0, F.concat(F.lit("Completed: "), f("MMMM d, yyyy"), F.lit(" (actual)")))
+            .when(key == 1, F.concat(F.lit("about "), f("yyyy")))
+            .when(key == 2, F.concat(f("d"), F.lit("th of "), f("MMM"), F.lit(" "), f("yyyy")))
+            .when(key == 3, F.concat(f("M/d/yyyy"), F.lit(" at 10:30")))
+            .when(key == 4, f("yyyyMMdd")).otherwise(F.concat(F.lit("est. "), f("d-MMM-yy"))))
+    p = o.select("o_orderkey", raw.alias("raw"), soup.alias("s"), F.concat(F.lit("99/99/"), f("yyyy")).alias("b"))
+    p = p.withColumn("d", R.parse_date_any("raw"))
     return p.select("o_orderkey", "raw", F.col("d").cast("string").alias("parsed"),
-                    F.year("d").cast("long").alias("start_year"),
-                    R.parse_date_any(F.concat(F.lit("x"), "raw")).cast("string").alias("bad"))
+                    F.year("d").cast("long").alias("start_year"), R.parse_date_any("s").cast("string").alias("soup"),
+                    R.parse_date_any("b").cast("string").alias("bad"))
 
 
 # ---------------------------------------------------------------------------

@@ -79,3 +79,24 @@ def test_attractiveness_sign_and_range(spark):
     assert m.weights[j] > 0
     s = [r[0] for r in m.transform(df).select("attractiveness_score_100").collect()]
     assert abs(min(s)) < 1e-9 and abs(max(s) - 100) < 1e-9
+
+
+def test_medians_and_filled_quantiles_from_one_look_up(spark):
+    """Equal to quantiles of the column whose nulls were filled beforehand."""
+    import random
+
+    import numpy as np
+
+    from durata.operators.ranks import RankedValues
+    rng = random.Random(5)
+    cols = {"odd": 21, "even": 20, "one": 1, "none": 0, "full": 40}
+    data = {c: [float(rng.randint(-3, 6)) if i < n else None for i in range(40)] for c, n in cols.items()}
+    df = spark.createDataFrame(list(zip(*data.values(), strict=True)), ", ".join(f"{c} double" for c in cols)).repartition(4)
+    probs = [i / 19 for i in range(20)]
+    medians, filled = RankedValues(df, list(cols), "double").filled_quantiles(probs, 40)
+    for c, n in cols.items():
+        known = [v for v in data[c] if v is not None]
+        m = float(np.median(known)) if n else None
+        assert medians[c] == m
+        whole = [m or 0.0 if v is None else v for v in data[c]]
+        assert np.allclose(filled[c], np.quantile(whole, probs), atol=1e-12)

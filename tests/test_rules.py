@@ -95,8 +95,24 @@ def test_arms(spark):
     assert got == [3.0, 2.0, 2.0, 1.0, 1.0, 0.0, 1.0]
 
 
+DATES = {
+    # ISO, with what may be missing and what may follow
+    "2015": "2015-01-01", "2015-03": "2015-03-01", "2015-3-4 10:00": "2015-03-04", "2015-03-05T10:00": "2015-03-05",
+    "2015-13-01": None, "2015-02-30": None,
+    # a month word, and the words around it
+    "March 1995": "1995-03-01", "March 5, 1995": "1995-03-05", "Mar-2015": "2015-03-01", "15 march 2015": "2015-03-15",
+    "Tuesday, 4 Sept 2012 at 10:30": "2012-09-04", "Completed: May 7th, 1999 (actual)": "1999-05-07",
+    "3 Mar 15": "2015-03-03", "3 Mar 98": "1998-03-03", "March 3": "1900-03-03", "Mar 98": "1998-03-01",
+    "marching on 2001": "2001-01-01", "Feb 30, 2001": None,
+    # numbers alone
+    "03/15/2015": "2015-03-15", "15/03/2015": "2015-03-15", "2015/03/15": "2015-03-15", "12.11.2010": "2010-12-11",
+    "7/4/98": "1998-07-04", "03/2015": "2015-03-01", "15 2015": "2015-01-15", "20150315": "2015-03-15",
+    "20150315101112": "2015-03-15", "99/99/9999": None, "201503": None, "x1995": "1995-01-01", "about 1996?": "1996-01-01",
+    # none
+    "unknown": None, "": None, "Tuesday": None, "10:30": None, "7": None, "123456789012345678901234567890": None,
+}
+
+
 def test_dates(spark):
-    got = col1(spark, ["March 1995", "March 5, 1995", "1995-03", "1995", "x1995", "2015-03-05T10:00"],
-               R.parse_date_any)
-    assert [str(x) if x else None for x in got] == ["1995-03-01", "1995-03-05", "1995-03-01", "1995-01-01", None,
-                                                    "2015-03-05"]
+    got = col1(spark, [*DATES, None], R.parse_date_any)
+    assert dict(zip(DATES, [str(x) if x else None for x in got], strict=False)) == DATES and got[-1] is None
