@@ -6,12 +6,13 @@ tiers, best tier wins:
 1. exact: the normalised value equals a normalised canonical name (1.0);
 2. synonym: the normalised value equals, contains or is contained in a
    normalised synonym (0.95);
-3. fuzzy: similarity ``1 - levenshtein / max(len)`` >= ``threshold``.
+3. fuzzy: similarity >= ``threshold``, by default the longest-matching-block
+   ratio (``blocks``), with ``measure="edits"`` ``1 - levenshtein / max(len)``.
 
 All tiers are equi-joins.  Containment joins on substrings: substrings of
 each value at the lengths that synonyms have (synonym inside value), and
 all substrings of the synonyms, the bounded dictionary side (value inside
-synonym).  Fuzzy candidates come from pieces: a canonical name of length L
+synonym).  Edit candidates come from pieces: a canonical name of length L
 can reach the threshold with at most ``k = floor((1 - threshold) L /
 threshold)`` edits (its partner is at most L / threshold long), so of its
 ``k + 1`` pieces one stands unchanged in the partner, at most ``k`` places
@@ -24,10 +25,11 @@ is matched once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import _c, py_strip
+from . import blocks
 
 # Name normalisation (fixed rules): lower/strip, "#" -> "num ", "number" -> "num",
 # runs of _ - / -> space, "count" -> "n", "randomised" -> "randomized",
@@ -109,8 +111,10 @@ def _substrings(c: Column, lengths: Column) -> Column:
 
 def harmonise(df: DataFrame, col: str, dictionary: DataFrame, synonyms: DataFrame | None = None,
               threshold: float = 0.70, fuzzy: bool = True, canon_col: str = "canonical",
-              syn_col: str = "synonym") -> DataFrame:
+              syn_col: str = "synonym", measure: str = "blocks") -> DataFrame:
     """Add ``match``, ``confidence``, ``reason`` to every row of ``df``."""
+    if measure not in ("blocks", "edits"):
+        raise ValueError(f"measure: blocks or edits, not {measure}")
     vals = (df.select(F.col(col).alias("value")).where(F.col("value").isNotNull()).distinct()
             .withColumn("nv", normalise_name("value")))
     canon = (dictionary.select(F.col(canon_col).alias("canonical")).distinct()
@@ -137,7 +141,13 @@ def harmonise(df: DataFrame, col: str, dictionary: DataFrame, synonyms: DataFram
                      .select("value", "canonical", F.lit(0.95).alias("confidence"),
                              F.concat(F.lit("synonym:"), "syn").alias("reason"), F.lit(0).alias("dist"),
                              F.lit(1).alias("tier")))
-    if fuzzy:
+    if fuzzy and measure == "blocks":
+        # a pair of names is compared once, whatever values and canonical names have them
+        alike = blocks.near(canon, vals, "nc", "nv", threshold)
+        tiers.append(vals.join(alike, "nv").join(canon, "nc").select(
+            "value", "canonical", F.col("ratio").alias("confidence"), F.lit("fuzzy").alias("reason"), F.lit(0).alias("dist"),
+            F.lit(2).alias("tier")))
+    elif fuzzy:
         d = F.levenshtein("nv", "nc")
         sim = F.lit(1.0) - d / F.greatest(F.length("nv"), F.length("nc"), F.lit(1))
         tiers.append(_near(vals, canon, threshold)
@@ -147,7 +157,8 @@ def harmonise(df: DataFrame, col: str, dictionary: DataFrame, synonyms: DataFram
     cand = tiers[0]
     for t in tiers[1:]:
         cand = cand.unionByName(t)
-    w = Window.partitionBy("value").orderBy(F.desc("confidence"), "tier", "dist", "canonical", "reason")
-    best = (cand.withColumn("__r", F.row_number().over(w)).where("__r = 1")
-            .select(F.col("value").alias(col), F.col("canonical").alias("match"), "confidence", "reason"))
+    # the best candidate is found on both sides of the shuffle, however many a value has
+    rank = F.struct(-F.col("confidence"), "tier", "dist", "canonical", "reason")
+    best = cand.groupBy("value").agg(F.min_by(F.struct("canonical", "confidence", "reason"), rank).alias("b")).select(
+        F.col("value").alias(col), F.col("b.canonical").alias("match"), "b.confidence", "b.reason")
     return df.join(best, on=col, how="left")

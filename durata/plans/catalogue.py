@@ -1214,6 +1214,24 @@ def _norm_name_sql(c):
     return f"regexp_replace({s}, '\\s+', ' ', 'g')"
 
 
+def _q34_inputs(spark, sf):
+    p = T(spark, sf, "part")
+    sz = F.col("p_size") % 5
+    w = F.split("p_name", " ")
+    value = (F.when(F.col("p_size") == 50, F.get(w, 1))
+             .when(F.col("p_size") % 10 == 9, F.concat_ws(" ", F.get(w, 1), F.get(w, 0), F.lit("extra")))
+             .when(sz == 0, F.col("p_name"))
+             .when(sz == 1, F.concat(F.substring("p_name", 1, 2), F.substring("p_name", 4, 1 << 30)))
+             .when(sz == 2, F.upper(F.regexp_replace("p_name", " ", "_")))
+             .when(sz == 3, F.concat("p_name", F.lit("xx")))
+             .otherwise(F.concat_ws(" ", F.get(w, 1), F.get(w, 0))))
+    vals = p.select("p_partkey", value.alias("value"))
+    canon = p.select(F.col("p_name").alias("canonical")).distinct()
+    syn = canon.select("canonical", F.concat_ws(" ", F.get(F.split("canonical", " "), 1),
+                                                F.get(F.split("canonical", " "), 0)).alias("synonym"))
+    return vals, canon, syn
+
+
 @query("q34_harmonise", f"""
 WITH v AS (SELECT DISTINCT {_q34_values_sql()} AS value FROM part),
 vn AS (SELECT value, {_norm_name_sql('value')} AS nv FROM v),
@@ -1235,21 +1253,8 @@ SELECT p_partkey, x.value, canonical AS match, round(confidence, 4) AS confidenc
 FROM (SELECT p_partkey, {_q34_values_sql()} AS value FROM part) x LEFT JOIN best ON x.value = best.value
 """)
 def q34(spark, sf):
-    p = T(spark, sf, "part")
-    sz = F.col("p_size") % 5
-    w = F.split("p_name", " ")
-    value = (F.when(F.col("p_size") == 50, F.get(w, 1))
-             .when(F.col("p_size") % 10 == 9, F.concat_ws(" ", F.get(w, 1), F.get(w, 0), F.lit("extra")))
-             .when(sz == 0, F.col("p_name"))
-             .when(sz == 1, F.concat(F.substring("p_name", 1, 2), F.substring("p_name", 4, 1 << 30)))
-             .when(sz == 2, F.upper(F.regexp_replace("p_name", " ", "_")))
-             .when(sz == 3, F.concat("p_name", F.lit("xx")))
-             .otherwise(F.concat_ws(" ", F.get(w, 1), F.get(w, 0))))
-    vals = p.select("p_partkey", value.alias("value"))
-    canon = p.select(F.col("p_name").alias("canonical")).distinct()
-    syn = canon.select("canonical", F.concat_ws(" ", F.get(F.split("canonical", " "), 1),
-                                                F.get(F.split("canonical", " "), 0)).alias("synonym"))
-    h = harmonise.harmonise(vals, "value", canon, syn, threshold=0.70)
+    vals, canon, syn = _q34_inputs(spark, sf)
+    h = harmonise.harmonise(vals, "value", canon, syn, threshold=0.70, measure="edits")
     return h.select("p_partkey", "value", "match", r4("confidence").alias("confidence"), "reason")
 
 

@@ -13,7 +13,7 @@ from ..operators.flatten import flatten
 from ..session import staging_path
 from ..sources import registry
 from ..sources.mapping import Entry, declared_study
-from .catalogue import T, query, r4
+from .catalogue import T, _q34_inputs, query, r4
 
 
 def _fresh(spark, name):
@@ -170,3 +170,12 @@ def q44(spark, sf):
     slots = design.select(F.posexplode(vector_to_array("features")).alias("i", "v")).where("v = 1 AND i > 0")
     counted = slots.groupBy("i").agg(F.count("*").alias("n"))
     return counted.select(F.get(F.array(*[F.lit(n) for n in names]), F.col("i")).alias("slot"), "n")
+
+
+@query("q34b_blocks", None)
+def q34b(spark, sf):
+    """F36 by matching blocks: every part's name, with words turned, letters
+    lost and added, against the canonical names (tested against brute force)."""
+    vals, canon, syn = _q34_inputs(spark, sf)
+    h = harmonise.harmonise(vals, "value", canon, syn, threshold=0.70)
+    return h.select("p_partkey", "value", "match", r4("confidence").alias("confidence"), "reason")
