@@ -55,7 +55,10 @@ def cmd_flatten(spark, a):
     flat = flatten(df, paths, keep=("source_file", "batch_date", "unparsed"))
     if a.latest_only:
         flat = latest_versions(flat, "nct_id" if "nct_id" in flat.columns else list(paths)[0])
-    registry.write_parquet(flat.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), a.out)
+    if {"start_date_raw", "complete_date_raw"} <= set(flat.columns):
+        registry.write_clustered(FE.typed_flat(flat), a.out, "typed_start_year")
+    else:
+        registry.write_parquet(flat.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), a.out)
     registry.write_csv(registry.page_counts(spark.read.parquet(a.out)), a.out.rstrip("/") + "_pages")
 
 

@@ -33,18 +33,21 @@ def status_norm(c):
 def cohort_filter(df: DataFrame, start: str, complete: str, as_of: str | _dt.date,
                   start_floor: str | _dt.date = "2000-01-01",
                   status_col: str | None = None, statuses: Sequence[str] = ("COMPLETED", "TERMINATED"),
-                  type_col: str | None = None, type_value: str | None = "ACTUAL") -> DataFrame:
+                  type_col: str | None = None, type_value: str | None = "ACTUAL", normalised: bool = False) -> DataFrame:
     """Start >= floor; completion present and <= as_of; type; status.
+    Columns that are ``normalised`` already are compared as they are, so the
+    whole filter can reach a scan.
 
     ``as_of`` is a parameter (the reference used "today"), so runs are
     reproducible.
     """
+    text = F.col if normalised else status_norm
     cond = (F.col(start) >= F.lit(str(start_floor)).cast("date")) \
         & F.col(complete).isNotNull() & (F.col(complete) <= F.lit(str(as_of)).cast("date"))
     if type_col is not None:
-        cond = cond & (status_norm(type_col) == F.lit(type_value))
+        cond = cond & (text(type_col) == F.lit(type_value))
     if status_col is not None:
-        cond = cond & status_norm(status_col).isin(*statuses)
+        cond = cond & text(status_col).isin(*statuses)
     return df.where(cond)
 
 

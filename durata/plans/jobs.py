@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ablation, embed, model, reports, scores, split
 from ..session import staging_path
+from ..sources import registry
 from ..streaming import ingest
 from . import catalogue
 from . import features as FE
@@ -87,6 +88,19 @@ def _oot_split(f: DataFrame):
     return s.where("split = 'train'"), s.where("split = 'test'")
 
 
+@job("xf_clustered")
+def xf_clustered(spark, sf):
+    """P11 on a table of typed rows clustered by start year: the cohort's
+    rows and durations, read through partition and pushed filters."""
+    path = staging_path(spark, f"flat-{uuid.uuid4().hex}")
+    flat = FE.flatten(FE.derive_studies(spark, sf, with_summary=False), FE.FLAT_MAPPING)
+    slim = flat.select("nct_id", "start_date_raw", "complete_date_raw", "overall_status", "primary_completion_type")
+    registry.write_clustered(FE.typed_flat(slim), path, "typed_start_year")
+    return FE.clustered_cohort(spark.read.parquet(path), AS_OF, START_FLOOR).select(
+        "nct_id", F.col("typed_start").cast("string").alias("start_date"),
+        F.datediff("typed_complete", "typed_start").cast("long").alias("duration_days"), "typed_status")
+
+
 @job("w3_forest_predictions")
 def w3(spark, sf):
     tr, te = _oot_split(features_frame(spark, sf).persist())
@@ -255,7 +269,15 @@ def w6(spark, sf):
 
 
 # The latest version of every study comes from the second (full) pull.
-ORACLE = {"w6_stream_ingest": """
+ORACLE = {"xf_clustered": """
+WITH l AS (SELECT l_orderkey, CAST(max(l_shipdate) AS DATE) AS done FROM lineitem GROUP BY l_orderkey),
+s AS (SELECT 'NCT' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS nct_id, o_orderstatus, done,
+             CAST(CASE WHEN o_orderpriority = '5-LOW' THEN date_trunc('month', o_orderdate) ELSE o_orderdate END AS DATE) AS start
+      FROM orders JOIN l ON l_orderkey = o_orderkey)
+SELECT nct_id, CAST(start AS VARCHAR) AS start_date, CAST(date_diff('day', start, done) AS BIGINT) AS duration_days,
+       CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' ELSE 'TERMINATED' END AS typed_status
+FROM s WHERE start >= DATE '1995-01-01' AND done <= DATE '2002-12-31' AND o_orderstatus IN ('F', 'O')
+""", "w6_stream_ingest": """
 WITH l AS (SELECT l_orderkey, sum(l_quantity) AS enrol, max(l_shipdate) AS last_ship FROM lineitem GROUP BY l_orderkey)
 SELECT 'NCT' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS nct_id, '2001-02-01' AS batch_date,
        CAST(CAST(enrol AS BIGINT) AS VARCHAR) AS patients,

@@ -135,6 +135,13 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     w.parquet(path)
 
 
+def write_clustered(df: DataFrame, path: str, by: str, mode: str = "overwrite") -> None:
+    """A Parquet table partitioned by ``by``; each value's rows come
+    together first (several files for a value that is too large for a task),
+    so it has a few files and not one for every task."""
+    df.hint("rebalance", by).write.mode(mode).partitionBy(by).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Header CSV (metrics, summaries, importances, per-trial tables)."""
     df.write.mode(mode).option("header", True).csv(path)
