@@ -1,6 +1,7 @@
 import re
 
 import duckdb
+import pytest
 
 from durata.llm import decontaminate as dc
 from tests.conftest import SF_ORACLE, SF_SMALL
@@ -51,6 +52,65 @@ def test_short_items_and_empty_tables(spark):
     assert leaks(spark, [ITEM], []) == {}
 
 
+def recall(spark, change):
+    """Share of the benchmark's items found in documents that hold each of
+    them changed, and documents that some other item was found in."""
+    b = spark.read.parquet(f"{SF_ORACLE}/benchmark.parquet")
+    items = [(r.item_id, r.text) for r in b.collect()]
+    lead, tail = "the lines before are of no matter here and ", " nor are those that come after it"
+    d = spark.createDataFrame([(i, lead + change(t) + tail) for i, t in items], "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.item_id) for r in dc.leaks(d, b).collect()}
+    return len([1 for i, _ in items if (i, i) in got]) / len(items), len({d for d, i in got if d != i})
+
+
+def _at_middle(edit):
+    def change(t):
+        w = t.split()
+        return " ".join(edit(w, len(w) // 2))
+    return change
+
+
+CHANGES = {
+    "none": lambda t: t, "lower": str.lower, "upper": str.upper,
+    "put in": _at_middle(lambda w, m: [*w[:m], "indeed", *w[m:]]),
+    "left out": _at_middle(lambda w, m: [*w[:m], *w[m + 1:]]),
+    "changed": _at_middle(lambda w, m: [*w[:m], "instead", *w[m + 1:]]),
+    "two words put in": _at_middle(lambda w, m: [*w[:m // 2], "so", *w[m // 2:m], "indeed", *w[m:]]),
+}
+
+
+@pytest.mark.parametrize("how", list(CHANGES))
+def test_changed_items_are_found(spark, how):
+    share, others = recall(spark, CHANGES[how])
+    assert share >= 0.9 and others == 0
+
+
+def test_fillers_of_several_words(spark):
+    """A name of two words, a number with a comma, one word put in or left out."""
+    texts = [ITEM.replace("Bob", "Mary Ann"), ITEM.replace("4 of", "1,200 of"), ITEM.replace("how many", "how very many"),
+             ITEM.replace("dollars each", "dollars"), ITEM.upper(), ITEM.lower(),
+             ITEM.replace("Alice", "Jean Luc").replace("12", "3,000.50").replace("Bob", "Di")]
+    got = leaks(spark, texts + ["Alice buys 12 apples", "many apples remain on trees with Alice for 3 days"], [(1, ITEM)])
+    assert set(got) == {(i, 1) for i in range(len(texts))}
+
+
+def test_items_of_few_words_are_found_as_they_stand(spark):
+    poor, four = "Compute 12 * 7 + 45 - 3 and 8", "2 3 5 7"
+    texts = [f"we asked: {poor} and more", poor.replace("45", "46"), "primes 2 3 5 7 and on", "7 5 3 2", poor.lower()]
+    got = leaks(spark, texts, [(1, poor), (2, four), (3, "too short")])
+    assert {(0, 1), (2, 2), (4, 1)} <= set(got) and (3, 2) not in got
+    assert got[0, 1].exact and got[2, 2].exact
+
+
+def test_rows_without_ids_repeats_and_long_texts(spark):
+    d = spark.createDataFrame([(None, ITEM, 1), (None, ITEM, 2), (7, ITEM, 3), (7, "clean text of no matter", 4), (None, None, 5),
+                               (8, "word " * 300_000 + ITEM + " word" * 300_000, 6)], "doc_id long, text string, uid int")
+    b = spark.createDataFrame([(1, ITEM, "x"), (1, ITEM, "x"), (None, ITEM.replace("apples", "pears"), "y")],
+                              "item_id long, text string, template string")
+    got = sorted(((r.doc_id, r.item_id, r.exact) for r in dc.leaks(d, b).collect() if r.item_id == 1), key=repr)
+    assert got == sorted([(None, 1, True), (None, 1, True), (7, 1, True), (8, 1, True)], key=repr)
+
+
 def plain(t):
     return " ".join(re.findall(r"[0-9a-z\x80-\U0010FFFF]+", t.lower()))
 
