@@ -15,14 +15,20 @@ from pyspark.sql import functions as F
 from durata.llm.shared import written
 
 
+def _least(e: DataFrame) -> DataFrame:
+    """Least neighbour of every node, written: joined with it as a table of
+    its own, the edges of a hot node need not stay in one task."""
+    return written(e.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
+
+
 def _large(e: DataFrame) -> DataFrame:
     both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+    least = _least(both).select("u", F.least("m", "u").alias("m"))
     return (both.join(least, "u").filter("v > u AND v > m").select(F.col("v").alias("u"), F.col("m").alias("v")))
 
 
 def _small(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    least = _least(e)
     down = e.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return down.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 

@@ -82,7 +82,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     text = F.coalesce(F.col(text_col), F.lit(""))
     cols = [F.col(id_col).alias("doc_id"), text.alias("t")]
     if keep:
-        cols.append(F.struct(*[F.col(c) for c in keep]).alias("row"))
+        cols.append(F.struct(*[F.col(f"`{c}`").alias(c) for c in keep]).alias("row"))
     d = docs.select(*cols)
     d = d.withColumn("words", F.array_remove(F.split("t", SPACE), ""))
     d = d.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))

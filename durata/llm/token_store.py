@@ -183,6 +183,16 @@ def _with_end(ids: bytes, end_id: int | None) -> bytes:
     return ids if end_id is None else ids + struct.pack("<I", end_id)
 
 
+def id_width(tokenizer: str, end_id: int | None) -> int:
+    """Bytes that the greatest id of a tokenizer file, or ``end_id``, needs: 2 or 4."""
+    from tokenizers import Tokenizer
+
+    ids = [*Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values(), end_id or 0]
+    if not 0 <= min(ids) <= max(ids) < 2 ** 32:
+        raise ValueError("ids must be unsigned 32-bit numbers")
+    return 2 if max(ids) < 2 ** 16 else 4
+
+
 def _narrow(ids: bytes, width: int) -> bytes:
     return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
 
@@ -235,12 +245,13 @@ def train_dictionary(rows: DataFrame, tokenizer: str, end_id: int | None, width:
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, id_col: str = "doc_id",
-          text_col: str = "text", vocabulary_size: int = 2 ** 16) -> None:
-    """Encode every whole text of ``docs`` and write the store at ``path``."""
+          text_col: str = "text") -> None:
+    """Encode every whole text of ``docs`` and write the store at ``path``;
+    ids take two bytes if the tokenizer's and the end id all fit, else four."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    width = 2 if vocabulary_size <= 2 ** 16 else 4
+    width = id_width(tokenizer, end_id)
     trained = train_dictionary(rows, tokenizer, end_id, width)
     digest = hashlib.sha256(trained).hexdigest()
     spark.createDataFrame([(digest, bytearray(trained))], "dict_hash string, bytes binary").coalesce(1).write.parquet(

@@ -4,6 +4,7 @@ import hashlib
 import duckdb
 import public_tokenizers as P
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from durata.llm import shared, sql
@@ -77,3 +78,25 @@ def test_odd_rows_and_empty_table(spark, monkeypatch):
             assert docs.count() == 0
     near = cp.near_duplicates(spark, df, SF_SMALL).collect()
     assert sorted((r.doc_id or 0) for r in near) == [0, 1, 2, 4, 5]
+
+
+BASE = " ".join(f"word{i} and{i}" for i in range(40))
+
+
+def test_near_duplicates_decide_by_row(spark):
+    """Copies under a repeated id or none go, other texts under them stay;
+    columns with any name come through."""
+    rows = [(3, BASE, 1, "a"), (5, BASE + " more", 2, "b"), (5, "other text of its own", 3, "c"), (None, BASE, 4, "d"),
+            (None, "one more text without an id", 5, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, __mark string").withColumn("row_0", F.lit(1))
+    out = cp.near_duplicates(spark, df, SF_SMALL)
+    assert out.columns == df.columns and {r["a.b"] for r in out.collect()} == {1, 3, 5}
+    assert {(r["a.b"], r["__mark"]) for r in out.collect()} == {(1, "a"), (3, "c"), (5, "e")}
+    assert cp.quality(spark, df.withColumns({c: F.lit("x") for c in ("lang", "source")}), SF_SMALL).columns[2:4] == ["a.b", "__mark"]
+
+
+def test_decontamination_decides_by_row(spark):
+    leak = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").first().text
+    rows = [(7, leak, 1), (7, "clean text", 2), (None, leak, 3), (None, "clean too", 4), (8, "and this", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int")
+    assert {r["a.b"] for r in cp.decontamination(spark, df, SF_SMALL).collect()} == {2, 4, 5}

@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -75,3 +76,22 @@ def test_empty_table(spark, docs_of):
     token_store.write(docs_of(["a"]).filter("false"), path, PATH, END)
     assert token_store.read(spark, path).count() == 0
     assert token_store.read(spark, path, doc_ids=[]).count() == 0
+
+
+def test_width_follows_the_tokenizer(spark, tmp_path):
+    """Ids above 65,535 are kept whole, whether the tokenizer's or the end id."""
+    big = json.loads(open(P.path("word_bpe_49k.json")).read())
+    big["model"]["vocab"] = {t: i if i < 15_000 else i + 60_000 for t, i in big["model"]["vocab"].items()}
+    big["added_tokens"] = []
+    where = str(tmp_path / "big.json")
+    with open(where, "w") as f:
+        json.dump(big, f)
+    assert token_store.id_width(P.path("word_bpe_49k.json"), 1) == 2 and token_store.id_width(where, 1) == 4
+    assert token_store.id_width(P.path("word_bpe_49k.json"), 70_000) == 4
+    docs = spark.createDataFrame([(i, "extraordinary zebra stories and rarities " * (i + 1)) for i in range(5)], "doc_id long, text string")
+    for name, tokenizer, end in (("a", where, 1), ("b", P.path("word_bpe_49k.json"), 70_000)):
+        token_store.write(docs, str(tmp_path / name), tokenizer, end)
+        lib = Tokenizer.from_file(tokenizer)
+        got = {r.doc_id: list(r.ids) for r in token_store.read(spark, str(tmp_path / name)).collect()}
+        want = {r.doc_id: [*lib.encode(r.text, add_special_tokens=False).ids, end] for r in docs.collect()}
+        assert got == want and max(map(max, got.values())) > 65_535
