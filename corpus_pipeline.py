@@ -12,7 +12,7 @@ no ORACLE_SQL and tests compare the stages with brute force.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from durata.llm import bpe, decontaminate, line_dedup, ngram_join, quality_rules, shared
@@ -35,22 +35,35 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a written number of its own for every row, under a name
+    that no column has: verdicts are on rows, whatever doc_id they repeat or lack."""
+    key = next(k for k in (f"row_{i}" for i in range(len(docs.columns) + 1)) if k not in docs.columns)
+    return shared.written(docs.withColumn(key, F.monotonically_increasing_id()), "pipeline-rows"), key
+
+
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones: that of least doc_id.
-    Rows that repeat doc_id and text count as copies too."""
-    found = ngram_join.similar(docs)
-    heads = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(heads.hint("merge"), docs["doc_id"].eqNullSafe(heads["doc_id"]), "left_semi")
-    one = Window.partitionBy("doc_id", "__mark").orderBy("__mark")
-    return (kept.withColumn("__mark", F.xxhash64("text")).withColumn("__n", F.row_number().over(one))
-            .filter("__n = 1").select(*docs.columns))
+    """One row of each group of similar ones: that of least doc_id (a row
+    without one only where no other has one).  Rows without words are
+    similar to nothing and stay."""
+    rows, key = _keyed(docs)
+    found = ngram_join.similar(rows, id_col=key).select(F.col("doc_id").alias(key), F.col("component_id").alias("group"))
+    ids = rows.select(key, F.col("doc_id").alias("id"))
+    first = F.struct(F.col("id").isNull(), "id", key)
+    heads = found.join(ids.hint("merge"), key).groupBy("group").agg(F.min_by(key, first).alias(key)).select(key)
+    return rows.join(heads.hint("merge"), key, "left_semi").select(*_columns(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Rows that hold no benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaked = decontaminate.leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(leaked.hint("merge"), docs["doc_id"].eqNullSafe(leaked["doc_id"]), "left_anti").select(*docs.columns)
+    rows, key = _keyed(docs)
+    leaked = decontaminate.leaks(rows, benchmark, id_col=key).select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(leaked.hint("merge"), key, "left_anti").select(*_columns(docs))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
