@@ -13,8 +13,11 @@ hashes count as repeats only if the texts behind them are equal.
 Defined results: null text counts as the empty text and stays null; chunks of
 one line and chunks without a word are never removed; rows that repeat both
 doc_id and text are one document and share its fate; a null doc_id sorts
-last; an empty table gives an empty table.  Other columns pass through, with
-whatever names.
+last; texts of any number of lines are cut whole, in time linear in their
+lines; an empty table gives an empty table.  Other columns pass through; those
+with a name that the operator needs (``__id``, ``__mark``, ``__text``,
+``__lines``, ``__chunks``, ``__gone``, with counts ``n_lines`` and
+``n_removed``) raise a ValueError.
 """
 
 from __future__ import annotations
@@ -92,7 +95,7 @@ def repeated_chunks(chunks: DataFrame) -> DataFrame:
 
 def removals(keyed: DataFrame) -> DataFrame:
     """(__id, __mark, __gone): per document the chunks to remove, as (from,
-    to) pairs."""
+    to) pairs in order."""
     lines = F.col("__lines")
     # the joints of a repeated chunk are repeated, so no other chunk needs its text
     some = F.filter("__chunks", lambda c: (c["to"] - c["from"] > 1) & c["again"])
@@ -107,7 +110,7 @@ def removals(keyed: DataFrame) -> DataFrame:
     place = F.struct("__id", "__mark", "from")
     first = written(again.groupBy("hash").agg(F.min(place).alias("first")), "op4-first")
     return (again.join(first, "hash").filter(place != F.col("first"))
-            .groupBy("__id", "__mark").agg(F.collect_set(F.struct("from", "to")).alias("__gone")))
+            .groupBy("__id", "__mark").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("__gone")))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
@@ -123,7 +126,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count
     # a merge join at every size: the removals grow with the corpus
     d = keyed.join(gone.hint("merge"), ["__id", "__mark"], "left").withColumn("__lines", F.split("__text", "\n"))
     g = F.col("__gone")
-    kept = F.filter("__lines", lambda x, i: ~F.exists(g, lambda c: (i >= c["from"]) & (i < c["to"])))
+    # the removed chunks part the lines into stretches that stay: from each one's end to the next one's start
+    froms = F.concat(F.array(F.lit(0)), F.transform(g, lambda c: c["to"]))
+    tos = F.concat(F.transform(g, lambda c: c["from"]), F.array(F.size("__lines")))
+    kept = F.flatten(F.zip_with(froms, tos, lambda a, b: F.slice(F.col("__lines"), a + 1, b - a)))
     text = F.when(g.isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(kept, "\n"))
     out = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names]
     if counts:

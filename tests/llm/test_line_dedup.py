@@ -100,3 +100,22 @@ def test_planted_passages_go_whole(spark):
     assert whole == 80
     assert all("\n".join(got[d]) == t for d, t in rows[:40])
     assert all(f"document {d} has line {i} of its own" in got[d] for d in got for i in range(4))
+
+
+def test_many_lines_of_one_document(spark):
+    """Two of every three lines shared: 8,000 chunks go from the second document, in order, at their places."""
+    docs = [(d, "\n".join(f"own {d} {i}" if i % 3 == 2 else f"shared {i}" for i in range(24_000))) for d in (1, 2)]
+    got = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string"), counts=True).collect()}
+    assert got[1].text == docs[0][1] and got[1].n_removed == 0
+    assert got[2].text.split("\n") == [f"own 2 {i}" for i in range(2, 24_000, 3)]
+    assert (got[2].n_lines, got[2].n_removed) == (24_000, 16_000)
+
+
+def test_names_that_the_operator_needs_raise(spark):
+    import pytest
+
+    for name in ("__lines", "__GONE", "__id"):
+        with pytest.raises(ValueError, match="in the input already"):
+            line_dedup.dedup(spark.createDataFrame([(1, "a", 2)], f"doc_id long, text string, `{name}` int"))
+    df = spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, n_lines int")
+    assert line_dedup.dedup(df).first().n_lines == 2
