@@ -68,3 +68,52 @@ def test_windows_cover_the_text():
         for i, w in enumerate(ws):
             covered |= set(range(i * toxicity.STEP, i * toxicity.STEP + len(w)))
         assert covered == set(range(n))
+
+
+def test_plain_marks_the_beginnings_of_words():
+    assert toxicity.plain("Über der\tMORGENSTERN, x9y".encode()) == "ÜBER DER MORGENstern, X9Y".encode()
+    assert toxicity.plain(b"") == b"" and toxicity.plain(toxicity.plain(b"Morgenstern")) == b"MORGENstern"
+
+
+def _varied(n, toxic, seed):
+    """Texts of 150 words; toxic ones hold one of 60 words three times."""
+    r = np.random.default_rng(seed)
+    words = np.random.default_rng(77)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    common = ["".join(words.choice(letters, words.integers(3, 10))) for _ in range(2000)]
+    bad = ["".join(words.choice(letters, words.integers(6, 11))) for _ in range(60)]
+    share = 1 / np.arange(1, 2001)
+    out = []
+    for _ in range(n):
+        text = list(r.choice(common, 150, p=share / share.sum()))
+        for _ in range(3 if toxic else 0):
+            text.insert(r.integers(len(text)), bad[len(out) % 60])
+        out.append(" ".join(text))
+    return out
+
+
+def test_varied_wording_is_learned_at_two_sizes(spark):
+    for n in (480, 960):
+        texts = [(i, t, i % 2) for i, t in enumerate(
+            t for pair in zip(_varied(n, False, n), _varied(n, True, n + 1), strict=True) for t in pair)]
+        docs = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")
+        labels = spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, label int")
+        model = toxicity.learn(docs, labels)
+        caught = np.mean([model.score(t.encode())[0] >= 0.5 for t in _varied(120, True, 3)])
+        false = np.mean([model.score(t.encode())[0] >= 0.5 for t in _varied(120, False, 4)])
+        assert caught >= 0.8 and false <= 0.05
+
+
+def test_a_text_that_does_not_fit_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 1000)
+    rows = spark.createDataFrame([(1, "a" * 400), (2, "b" * 5000), (3, "c" * 500), (4, "d" * 300), (5, None)], "h long, text string")
+    assert toxicity._texts(rows) == [toxicity.plain(t) for t in (b"a" * 400, b"c" * 500, b"")]
+
+
+def test_toxic_segments_stay_out_of_the_ordinary_dictionary():
+    toxic = [b"ALPHA GRUMBLexx%d BETA" % (i % 9) for i in range(40)]
+    ordinary = [b"ALPHA BETA GAMMA %d DELTA " % i * 9 for i in range(400)] + [b"X GRUMBLexx Y"]
+    segments = toxicity.toxic_segments(toxic, ordinary)
+    assert any(b"GRUMBL" in s for s in segments) and not any(b"ALPHA" in s for s in segments)
+    pieces = toxicity.without_segments(ordinary, segments)
+    assert not any(b"GRUMBL" in p for p in pieces) and len(pieces) == 400
