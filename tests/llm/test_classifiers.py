@@ -112,7 +112,7 @@ def test_a_text_that_does_not_fit_is_left_out(spark, monkeypatch):
 
 def test_toxic_segments_stay_out_of_the_ordinary_dictionary():
     toxic = [b"ALPHA GRUMBLexx%d BETA" % (i % 9) for i in range(40)]
-    ordinary = [b"ALPHA BETA GAMMA %d DELTA " % i * 9 for i in range(400)] + [b"X GRUMBLexx Y"]
+    ordinary = [b"ALPHA BETA GAMMA %d DELTA" % i for i in range(400)] + [b"X GRUMBLexx Y"]
     segments = toxicity.toxic_segments(toxic, ordinary)
     assert any(b"GRUMBL" in s for s in segments) and not any(b"ALPHA" in s for s in segments)
     pieces = toxicity.without_segments(ordinary, segments)
