@@ -51,13 +51,14 @@ ORDINARY_BYTES = 100_000
 TRAINER_NEEDS = 40
 TOXIC_BYTES = 8_000
 TRAIN_DOCS = 10_000
-TRAIN_BYTES = 40 << 20
+TRAIN_BYTES = 16 << 20
 #: Of these, so many of each label take part in the calibration.
 CALIBRATION_DOCS = 3_000
 #: A gram is toxic if LEAST toxic texts hold it, it is FACTOR times as frequent, per byte, as in ordinary text, and
 #: the log likelihood ratio of its places against one frequency for both kinds is EVIDENCE.
 LEAST, FACTOR, EVIDENCE = 4, 10, 14
 FOLDS = 3
+BATCH = 500_000
 NOTABLE = 3
 #: The compressor does not index a dictionary's last bytes; these match nothing.
 END = bytes(range(0xF8, 0x100)) * 2
@@ -100,17 +101,35 @@ def _within(sorted_set: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_set[np.minimum(np.searchsorted(sorted_set, x), len(sorted_set) - 1)] == x
 
 
+def _word_grams(text: bytes, size: int) -> np.ndarray:
+    """Grams within a word; a space may begin them."""
+    g = _grams(text, size)
+    keep = np.ones(len(g), bool)
+    for k in range(size - 1):
+        keep &= (g >> np.uint64(8 * k)) & np.uint64(0xFF) != 0x20
+    return g[keep]
+
+
+def _merged(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return (keys, *(np.bincount(at, np.concatenate([p[i] for p in parts]), len(keys)) for i in (1, 2)))
+
+
 def _counts(texts: list[bytes], size: int, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Grams, their places and the texts that hold them; a text counts at most
-    one place for every PIECE bytes.  ``among`` (sorted) limits the grams."""
-    g, n = [np.zeros(0, np.uint64)], [np.zeros(0, int)]
+    """Grams within words, their places and the texts that hold them; a text
+    counts at most one place for every PIECE bytes.  ``among`` (sorted) limits
+    the grams.  Texts are added up BATCH grams at a time, so that memory
+    follows the distinct grams."""
+    none = np.zeros(0)
+    total, parts, waiting = (none.astype(np.uint64), none, none), [], 0
     for t in texts:
-        x = _grams(t, size)
+        x = _word_grams(t, size)
         u, c = np.unique(x if among is None else x[_within(among, x)], return_counts=True)
-        g.append(u)
-        n.append(np.minimum(c, len(t) // PIECE + 1))
-    keys, at, held = np.unique(np.concatenate(g), return_inverse=True, return_counts=True)
-    return keys, np.bincount(at, np.concatenate(n), len(keys)), held
+        parts.append((u, np.minimum(c, len(t) // PIECE + 1), np.ones(len(u))))
+        waiting += len(u)
+        if waiting > BATCH:
+            total, parts, waiting = _merged([total, *parts]), [], 0
+    return _merged([total, *parts])
 
 
 def distinct(texts: list[bytes]) -> list[bytes]:
@@ -136,10 +155,7 @@ def toxic_grams(toxic: list[bytes], ordinary: list[bytes], size: int) -> np.ndar
     hold, that are FACTOR times as frequent there as in ordinary texts, and
     that chance does not explain (EVIDENCE)."""
     g, n, held = _counts(toxic, size)
-    one_word = np.ones(len(g), bool)
-    for k in range(size - 1):
-        one_word &= (g >> np.uint64(8 * k)) & np.uint64(0xFF) != 0x20
-    keep = one_word & (held >= LEAST)
+    keep = held >= LEAST
     g, n = g[keep], n[keep]
     h, m, _ = _counts(ordinary, size, g)
     other = np.zeros(len(g))
