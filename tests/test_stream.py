@@ -4,10 +4,12 @@ import datetime as dt
 import gzip
 import json
 import os
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from durata.plans import features as FE
+from durata.plans import jobs
 from durata.sources.mapping import declared_study, entries
 from durata.sources.registry import scan_pages
 from durata.streaming import ingest
@@ -94,3 +96,34 @@ def test_scan_pages_max_files(spark, tmp_path):
     one = scan_pages(spark, raw, studies.schema, multi_line=False, max_files=1)
     assert 0 < one.count() < all_rows == studies.count()
     assert one.select("source_file").distinct().count() == 1
+
+
+def test_pages_are_dealt_to_tasks_a_few_at_a_time(spark):
+    """No task and no file holds more pages as the studies grow, and the table
+    holds a batch on disk, not in the executors' memory."""
+    n = 40 * jobs.TASK_PAGES
+    s = spark.range(n * 3).select(F.struct(F.col("id").alias("x")).alias("protocolSection")).repartition(3)
+    pages = jobs.study_pages(s, F.floor(F.col("protocolSection.x") / 3))
+    sizes = pages.select(F.spark_partition_id().alias("p"), F.size("studies").alias("k")).collect()
+    assert len(sizes) == n and {r.k for r in sizes} == {3}
+    assert pages.rdd.getNumPartitions() == 40
+    assert max(Counter(r.p for r in sizes).values()) < 4 * jobs.TASK_PAGES
+    got = {x.protocolSection.x for r in pages.collect() for x in r.studies}
+    assert got == set(range(n * 3))
+    assert jobs.study_pages(s.where("false"), F.lit(1)).count() == 0
+
+
+def test_a_batch_is_held_on_disk(spark, tmp_path):
+    held = []
+
+    class Watched(ingest.Upserts):
+        def _current(self, before=None):
+            held.append([(i.memSize(), i.numCachedPartitions()) for i in spark.sparkContext._jsc.sc().getRDDStorageInfo()])
+            return super()._current(before)
+    rows = spark.range(2_000).select(F.lit("f").alias("source_file"), F.lit(dt.date(2009, 1, 1)).alias("batch_date"),
+                                     F.format_string("%05d", "id").alias("id"))
+    spark.catalog.clearCache()
+    table = Watched(spark, str(tmp_path / "t"), "id", buckets=4)
+    table.put(rows, 0)
+    assert any(n for _, n in held[0]) and all(m == 0 for m, _ in held[0])
+    assert table.read().count() == 2_000
