@@ -216,8 +216,9 @@ def _gather(starts: np.ndarray, lengths: np.ndarray, which: np.ndarray, table: n
 
 
 class Encoder:
-    """Encodes blocks of texts; each distinct piece goes through the matrices
-    once, its ids stay in the worker's memory."""
+    """Encodes blocks of texts; each distinct piece of a task goes through the
+    matrices once, and the ids of those that come up again stay in the worker's
+    memory."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -231,12 +232,26 @@ class Encoder:
         self.place: dict[str, int] = {}
         self.lengths = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
+        self.used = np.zeros(0, np.int32)
+
+    def rest(self) -> None:
+        """Keeps the pieces that came up in two blocks or more since the last
+        rest; the others only take room from the worker's next steps."""
+        keep = np.flatnonzero(self.used > 1)
+        if len(keep) > MEMORY // 2:
+            self._forget()
+            return
+        pieces = list(self.place)
+        self.ids = _gather(np.cumsum(self.lengths) - self.lengths, self.lengths, keep, self.ids)[0]
+        self.lengths, self.used = self.lengths[keep], np.ones(len(keep), np.int32)
+        self.place = {pieces[k]: i for i, k in enumerate(keep.tolist())}
 
     def learn(self, new: list[str]) -> None:
         coded = self.v.encode_pieces([p.encode() for p in new])
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
         self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, coded), np.int64, len(coded))])
         self.ids = np.concatenate([self.ids, *coded])
+        self.used = np.concatenate([self.used, np.zeros(len(coded), np.int32)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a block of texts end to end, and the end of each text's."""
@@ -246,11 +261,12 @@ class Encoder:
             pieces += self.v.pattern.findall(t)
             cuts[i] = len(pieces)
         if len(self.place) > MEMORY:
-            self._forget()
+            self.rest()
         new = list(set(pieces).difference(self.place))
         if new:
             self.learn(new)
         which = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+        self.used[np.unique(which)] += 1
         ids, ends = _gather(np.cumsum(self.lengths) - self.lengths, self.lengths, which, self.ids)
         return ids, np.concatenate([[0], ends])[cuts]
 
@@ -276,7 +292,7 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _open[path, pattern]
 
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def encode(docs, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True):
@@ -287,6 +303,7 @@ def encode(docs, path: str, pattern: str, id_col: str = "doc_id", text_col: str
     stays in the worker between tasks.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
     from pyspark.sql import functions as F
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -297,14 +314,16 @@ def encode(docs, path: str, pattern: str, id_col: str = "doc_id", text_col: str
     def work(batches):
         enc = encoder(path, pattern)
         for b in batches:
-            keys, texts = b.column(0), [t or "" for t in b.column(1).to_pylist()]
+            keys, texts = b.column(0), b.column(1)
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
             at = 0
-            while at < len(texts):
+            while at < len(sizes):
                 end, size = at, 0
-                while end < len(texts) and (end == at or size < BATCH_BYTES):
-                    size += len(texts[end])
+                while end < len(sizes) and (end == at or size < BATCH_BYTES):
+                    size += sizes[end]
                     end += 1
-                ids, ends = enc.encode(texts[at:end])
+                # only this block's texts are Python objects
+                ids, ends = enc.encode([t or "" for t in texts.slice(at, end - at).to_pylist()])
                 h1, h2 = zip(*enc.digests(ids, ends), strict=True)
                 cols = [keys.slice(at, end - at), pa.array(np.diff(ends, prepend=0)), pa.array(h1), pa.array(h2)]
                 if with_ids:
@@ -312,5 +331,6 @@ def encode(docs, path: str, pattern: str, id_col: str = "doc_id", text_col: str
                     cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
                 at = end
+        enc.rest()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, schema)

@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from durata.llm.hashing import ALNUM, Words, blocks, gram_hashes, mix, utf8, word_hashes
+from durata.llm.hashing import ALNUM, Words, gram_hashes, mix, text_blocks, word_hashes
 from durata.llm.shared import written
 
 WINDOW = 5
@@ -146,11 +146,10 @@ def _scan(bitmap, forms: list[tuple[int, int]], whole: bool):
         kind = pa.list_(pa.struct([("pos", pa.int32()), ("size", pa.int32()), ("hash", pa.int64()), ("place", pa.int32()),
                                    ("slots", pa.list_(pa.int64()))]))
         for b in batches:
-            texts = utf8(b.column(1))
-            for lo, hi in blocks(texts):
-                words = Words(texts[lo:hi], ALNUM)
+            for lo, hi, texts in text_blocks(b.column(1)):
+                words = Words(texts, ALNUM)
                 # word hashes fold ASCII letters; others are lowered where there are any
-                lowered = words if all(t.isascii() for t in texts[lo:hi]) else Words([_lower(t) for t in texts[lo:hi]], ALNUM)
+                lowered = words if all(t.isascii() for t in texts) else Words([_lower(t) for t in texts], ALNUM)
                 for form in sorted({f for f, _ in forms}):
                     w = Form(words if form == SLOTTED else lowered, form)
                     rows: list[list] = [[] for _ in range(hi - lo)]

@@ -120,9 +120,13 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
 
 def blocks(texts: Iterable[bytes], limit: int = 4 * SEGMENT) -> Iterator[tuple[int, int]]:
     """Ranges of a list of texts holding about ``limit`` bytes each."""
+    yield from _cuts(map(len, texts), limit)
+
+
+def _cuts(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
     at = size = n = 0
-    for n, t in enumerate(texts, 1):
-        size += len(t) + 1
+    for n, t in enumerate(sizes, 1):
+        size += t + 1
         if size >= limit:
             yield at, n
             at, size = n, 0
@@ -130,6 +134,16 @@ def blocks(texts: Iterable[bytes], limit: int = 4 * SEGMENT) -> Iterator[tuple[i
         yield at, n
 
 
+def text_blocks(column, limit: int = 4 * SEGMENT) -> Iterator[tuple[int, int, list[bytes]]]:
+    """``blocks`` of an Arrow string column with their texts as ``utf8``; only
+    one block's texts are Python objects at a time."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for lo, hi in _cuts(sizes, limit):
+        yield lo, hi, utf8(column.slice(lo, hi - lo))
+
+
 def utf8(column) -> list[bytes]:
     """The texts of an Arrow string column as UTF-8; null counts as empty."""
     import pyarrow as pa

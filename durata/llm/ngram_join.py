@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from durata.llm.components import components
-from durata.llm.hashing import Words, blocks, gram_hashes, mix, utf8
+from durata.llm.hashing import Words, gram_hashes, mix, text_blocks
 from durata.llm.shared import written
 
 K = 5
@@ -78,6 +78,7 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(short):
             h.append(gram_hashes(w.hash, k)[w.first[short]])
             d.append(short)
+    del w, g, inside
     h, d = np.concatenate(h) >> _U(64 - BITS), np.concatenate(d)
     order = np.argsort(h)
     h, d = h[order], d[order]
@@ -118,11 +119,10 @@ def _send(n_buckets: int):
         part, seq = TaskContext.get().partitionId(), 0
         for b in batches:
             keys = b.column(0)
-            texts = utf8(b.column(1))
-            for lo, hi in blocks(texts, BLOCK_BYTES):
+            for lo, hi, texts in text_blocks(b.column(1), BLOCK_BYTES):
                 block = (part << 24) | seq
                 seq += 1
-                h, d = shingles(texts[lo:hi])
+                h, d = shingles(texts)
                 n, p1, p2 = set_prints(h, d, hi - lo)
                 ids = keys.slice(lo, hi - lo)
                 null = np.asarray(ids.is_null()).astype(np.uint8)

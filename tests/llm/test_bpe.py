@@ -3,12 +3,13 @@ import hashlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from durata.llm import bpe
+from durata.llm import bpe, hashing
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -66,3 +67,37 @@ def test_empty_table_and_clashing_columns(spark, docs_of):
     d = docs_of(["a b"]).selectExpr("doc_id", "text", "1 AS n_tokens", "2 AS ids")
     assert bpe.encode(d, PATH, P.PATTERN).collect()[0].n_tokens == 2
     assert bpe.encode(d.filter("false"), PATH, P.PATTERN).count() == 0
+
+
+def test_worker_keeps_only_pieces_that_come_up_again(spark):
+    """What a task met in one block alone does not stay in its worker."""
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, work, _):
+            return work
+
+    enc = bpe.encoder(PATH, P.PATTERN)
+    enc._forget()
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k, i: "zq" + letters[k] + letters[i // 676] + letters[i // 26 % 26] + letters[i % 26]
+    often, size = " common words here ", 12_000
+    texts = [often * 40_000 + " ".join(word(k, i) for i in range(size)) for k in range(3)] + [None]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [0, 1, 2, 3], "text": texts})
+    work = bpe.encode(Docs(), PATH, P.PATTERN)
+    first = [x.column(2).to_pylist() for x in work(iter([batch]))]
+    assert " common" in enc.place and len(enc.place) < size
+    assert len(enc.place) == len(enc.lengths) == len(enc.used) and enc.lengths.sum() == len(enc.ids)
+    # the second time with what stayed: same ids
+    assert [x.column(2).to_pylist() for x in work(iter([batch]))] == first
+
+
+def test_text_blocks_hold_one_block_of_texts():
+    texts = [None, "a" * 10, "é" * 3, "", "b" * 30]
+    column = pa.array(texts)
+    whole = hashing.utf8(column)
+    found = list(hashing.text_blocks(column, 12))
+    assert [(lo, hi) for lo, hi, _ in found] == list(hashing.blocks(whole, 12))
+    assert [t for _, _, part in found for t in part] == whole
+    assert all(len(part) == hi - lo for lo, hi, part in found)
